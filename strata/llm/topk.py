@@ -70,8 +70,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     n_asked, n_rows, width = usable.agg(F.countDistinct(F.when(F.col("vec_id") % every == 0, F.col("vec_id"))), F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     q_blocks, r_blocks = max(1, -(-n_asked // queries)), max(1, -(-n_rows // rows))
     # blocks of queries meet blocks of rows: each side is dealt to its row or column of the grid
-    left = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).cast("long"))
-    right = usable.withColumn("rb", F.pmod(F.xxhash64("v", "vec_id"), F.lit(r_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long"))
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(r_blocks - 1).cast("long"))))
+    right = usable.withColumn("rb", F.pmod(F.xxhash64("v", "vec_id"), F.lit(r_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
 
     def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         found = []
