@@ -21,7 +21,7 @@ from strata.llm.tokens import piece_hashes
 
 BAND, TABLES = 3, 12  # minhashes in a band (two bands make a key), bands in each collection
 THRESHOLD = 80  # per cent
-WORDS = 4  # in a shingle
+WORDS = 5  # in a shingle
 CHUNK = 2_000_000  # bytes of text at a time
 
 _random = np.random.default_rng(11)
@@ -77,7 +77,7 @@ def batches_of(column: pa.Array):
         at = end
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """documents -> doc_id, row, text, n_shingles, same (a digest of the set; null: empty set), bands (of both collections, by turns)."""
 
     def run(batches):
@@ -89,7 +89,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sizes, same, bands = [], [], []
             for a, b, texts in batches_of(batch.column("text")):
-                every, edges = shingles(texts)
+                every, edges = shingles(texts, words)
                 full = np.flatnonzero(np.diff(edges))
                 mins = np.full((2 * TABLES * BAND, len(texts)), np.uint64(0))
                 if len(full):
@@ -145,14 +145,14 @@ def candidates(classes: DataFrame) -> DataFrame:
     return cut(pairs.join(size("u"), "u").join(size("v"), "v").select("u", "v", "n_u", "n_v"))
 
 
-def sets_of(sketches: DataFrame, rows: DataFrame) -> DataFrame:
+def sets_of(sketches: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """The whole sets (row, n, sh: sorted hashes) of some rows."""
 
     def run(batches):
         for batch in batches:
             own = []
             for _, _, texts in batches_of(batch.column("text")):
-                every, edges = shingles(texts)
+                every, edges = shingles(texts, words)
                 own += [np.unique(every[a:b]).view(np.int64) for a, b in zip(edges[:-1], edges[1:])]
             ends = np.cumsum([0, *map(len, own)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
@@ -194,7 +194,7 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(out)
 
 
-def left_over(found: DataFrame, comps: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+def left_over(found: DataFrame, comps: DataFrame, sketches: DataFrame, threshold: int, words: int) -> DataFrame:
     """Pairs (u, v) over the components that share a bucket without a link: every pair of these that can be alike.
 
     Shingles are ordered by how few of the rows hold them. Of two alike sets, the smaller has one of its first n - ceil(2 t n / (1 + t)) + 1
@@ -209,7 +209,7 @@ def left_over(found: DataFrame, comps: DataFrame, sketches: DataFrame, threshold
     touched = apart.select(F.col("cu").alias("comp")).unionByName(apart.select(F.col("cv").alias("comp"))).distinct()
     alone = apart.select(F.col("u").alias("row")).unionByName(apart.select(F.col("v").alias("row"))).distinct().withColumn("comp", F.col("row")).join(comps, "row", "left_anti")
     members = cut(comps.join(touched, "comp", "left_semi").select("row", "comp").unionByName(alone.select("row", "comp")))
-    sets = cut(sets_of(sketches, members.select("row")))
+    sets = cut(sets_of(sketches, members.select("row"), words))
     each = sets.select("row", F.size("sh").alias("n"), F.explode("sh").alias("sh"))
     counts = each.groupBy("sh").agg(F.count("*").alias("df"))
     t = threshold / 100
@@ -227,7 +227,7 @@ def left_over(found: DataFrame, comps: DataFrame, sketches: DataFrame, threshold
     return confirmed(pairs, sets, threshold)
 
 
-def link(sketches: DataFrame, threshold: int) -> DataFrame:
+def link(sketches: DataFrame, threshold: int, words: int) -> DataFrame:
     """Stored sketches -> one row per row: row, doc_id, n_shingles, component_id."""
     groups = sketches.where("same is not null").groupBy("same").agg(F.min("row").alias("first"), F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
     groups = cut(groups.where("copies > 1").select("same", "first", "first_doc"))
@@ -237,10 +237,10 @@ def link(sketches: DataFrame, threshold: int) -> DataFrame:
     classes = sketches.where("same is not null").select("row", F.col("n_shingles").alias("n"), "bands").join(later, "row", "left_anti")
     found = candidates(classes)
     pairs = cut(found.where(fits(threshold)).select("u", "v"))
-    sets = cut(sets_of(sketches, pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()))
+    sets = cut(sets_of(sketches, pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct(), words))
     edges = confirmed(pairs, sets, threshold)
     comps = components(edges)
-    more = left_over(found, comps, sketches, threshold)
+    more = left_over(found, comps, sketches, threshold, words)
     if not more.isEmpty():
         comps = components(edges.unionByName(more))
     # the smallest doc_id of a component, over its classes
@@ -250,18 +250,18 @@ def link(sketches: DataFrame, threshold: int) -> DataFrame:
     return salted_left(rows, labels, "class", "row").select("row", "doc_id", "n_shingles", F.coalesce("component_doc", "class_doc", "doc_id").alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """documents -> one row per row: doc_id, n_shingles, component_id, kept.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat an id are texts of their own under one
     name. Rows with a null id take part in links; they are kept, and their component is null unless it holds an id. An empty table
     gives no rows, and further columns are ignored.
     """
-    out = link(cut(sketch(docs)), threshold)
+    out = link(cut(sketch(docs, words)), threshold, words)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
     """The rows of documents, with all their columns, that near_duplicates keeps."""
-    gone = cut(near_duplicates(docs, threshold).where(~F.col("kept")).select("doc_id").distinct())
+    gone = cut(near_duplicates(docs, threshold, words).where(~F.col("kept")).select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
