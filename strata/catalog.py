@@ -1,6 +1,235 @@
-"""The named queries of the engine and their SQL."""
+"""The named queries of the engine over the driver's tables, and their SQL.
+
+The key-value log is derived from ``events``: a record per event, in order. Queries that don't test CLEAR leave those records out.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strata.functions import binary, bloom, names, record
+from strata.operators import blocks, lww
+from strata.schema import CLEAR, PUT, REMOVE
+
+EPOCH = 1000  # records that become a run
+
+
+def kv_log(spark: SparkSession, sf_dir: str, clears: bool = False) -> DataFrame:
+    """seq, op, k, v."""
+    op = F.when(F.col("event_id") % 400 == 250, CLEAR).when(F.col("event_type") == "error", REMOVE).otherwise(PUT)
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") + 1).alias("seq"), op.alias("op"), F.concat(F.lit("u"), F.col("user_id")).alias("k"), "props")
+    rows = rows.select("seq", "op", "k", F.when(F.col("op") == PUT, F.col("props")).otherwise("").alias("v"))
+    return rows if clears else rows.where(F.col("op") != CLEAR)
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted runs: the latest record of each key and epoch, tombstones kept."""
+    return lww.latest(kv_log(spark, sf_dir).withColumn("run", F.floor((F.col("seq") - 1) / EPOCH)), "run")
+
+
+def levelled(rows: DataFrame) -> DataFrame:
+    """The first three runs are of level 1, the others of level 0; numbers are the epochs."""
+    return rows.withColumn("level", F.when(F.col("run") < 3, 1).otherwise(0)).withColumn("number", F.col("run"))
+
+
+def all_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kv_log(spark, sf_dir).select("k").distinct()
+
+
+def point_get(spark, sf_dir):
+    return lww.get(kv_log(spark, sf_dir), "u7")
+
+
+def multi_get(spark, sf_dir):
+    probes = spark.createDataFrame([(0, "u7"), (1, "u42"), (2, "nobody")], "ord int, k string")
+    return lww.multi_get(kv_log(spark, sf_dir), probes)
+
+
+def scan_live(spark, sf_dir):
+    return lww.live(kv_log(spark, sf_dir))
+
+
+def keys(spark, sf_dir):
+    return lww.live(kv_log(spark, sf_dir)).select("k")
+
+
+def size(spark, sf_dir):
+    return lww.live(kv_log(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+def exists_semi(spark, sf_dir):
+    return lww.existing(kv_log(spark, sf_dir), all_keys(spark, sf_dir))
+
+
+def tombstoned_anti(spark, sf_dir):
+    return lww.missing(kv_log(spark, sf_dir), all_keys(spark, sf_dir))
+
+
+def remove_result(spark, sf_dir):
+    return lww.remove_results(kv_log(spark, sf_dir), all_keys(spark, sf_dir).union(spark.createDataFrame([("nobody",)], "k string")))
+
+
+def max_seq(spark, sf_dir):
+    return kv_log(spark, sf_dir, clears=True).agg(F.max("seq").alias("max_seq"))
+
+
+def checkpoint_tail(spark, sf_dir):
+    log = kv_log(spark, sf_dir, clears=True)
+    last = log.agg(F.max("seq").alias("last"))
+    return log.join(F.broadcast(last), F.col("seq") > 0.9 * F.col("last")).groupBy("op").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+def replay_with_clear(spark, sf_dir):
+    return lww.replay(kv_log(spark, sf_dir, clears=True))
+
+
+def sst_build(spark, sf_dir):
+    return runs(spark, sf_dir)
+
+
+def sst_stats(spark, sf_dir):
+    return blocks.run_stats(runs(spark, sf_dir))
+
+
+def compact(spark, sf_dir):
+    rows = runs(spark, sf_dir).withColumns({"level": F.lit(0), "number": F.col("run")})
+    return lww.merge_runs(rows).select("k", "v")
+
+
+def levels_precedence(spark, sf_dir):
+    return lww.merge_runs(levelled(runs(spark, sf_dir)))
+
+
+def read_amp(spark, sf_dir):
+    return blocks.read_amplification(runs(spark, sf_dir))
+
+
+def group_commit(spark, sf_dir):
+    return blocks.group_commits(kv_log(spark, sf_dir, clears=True))
+
+
+def _record() -> list[Column]:
+    return [F.col("op"), F.col("k"), F.col("v"), F.col("seq")]
+
+
+def wal_dump(spark, sf_dir):
+    """The text form of the first hundred records; SQL has no CRC-32, so that the checksum is shown as 0 here."""
+    return kv_log(spark, sf_dir, clears=True).where("seq <= 100").select("seq", record.describe(*_record(), F.lit(0)).alias("text"))
+
+
+def wal_record_size(spark, sf_dir):
+    return kv_log(spark, sf_dir, clears=True).select("seq", record.size(F.col("k"), F.col("v")).alias("bytes"))
+
+
+def wal_encode(spark, sf_dir):
+    """The bytes of every record but its checksum, in hex; SQL has no CRC-32, which tests hold against zlib."""
+    raw = kv_log(spark, sf_dir, clears=True).select("seq", F.hex(record.encode(*_record())).alias("r"))
+    return raw.select("seq", F.concat(F.substring("r", 1, 8), F.expr("substring(r, 17)")).alias("record"))
+
+
+def wal_crc(spark, sf_dir):
+    """Stored checksums are those of the payloads read back."""
+    raw = kv_log(spark, sf_dir, clears=True).select("seq", record.encode(*_record()).alias("r"))
+    stored = binary.unpack_uint(F.col("r"), 4, 4)
+    return raw.select("seq", (F.crc32(F.expr("substring(r, 9)")) == stored).alias("holds"), binary.unpack_uint(F.col("r"), 0, 4).alias("bytes"))
+
+
+def block_index(spark, sf_dir):
+    return blocks.block_index(runs(spark, sf_dir), 512)
+
+
+def next_block_lookup(spark, sf_dir):
+    return blocks.block_for(blocks.block_index(runs(spark, sf_dir), 512), "u5")
+
+
+def manifest_levels(spark, sf_dir):
+    found = levelled(runs(spark, sf_dir)).select("level", "number").distinct()
+    path = F.format_string("sstables/L%d/sstable-L%d-%06d.sst", "level", "level", "number")
+    return found.groupBy("level").agg(F.count("*").alias("tables"), F.array_join(F.sort_array(F.collect_list(path)), ",").alias("paths"))
+
+
+NAMES = ["sstable-L0-000001.sst", "sstable-L1-000042.sst", "sstable-000007.sst", "sstable-L2-xyz.sst", "other.txt", "sstable-.sst", "sstable-L12-000300.sst"]
+
+
+def name_parse(spark, sf_dir):
+    rows = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    return rows.select("name", names.table_level(F.col("name")).alias("level"), names.table_number(F.col("name")).alias("number"))
+
+
+def bloom_no_false_negative(spark, sf_dir):
+    """Keys of the log that a filter made of them denies: none."""
+    found = all_keys(spark, sf_dir)
+    made = bloom.bloom_agg(found, found.count())
+    return found.join(F.broadcast(made)).select("k", bloom.might_contain("bloom", F.col("k").cast("binary")).alias("found"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        point_get, multi_get, scan_live, keys, size, exists_semi, tombstoned_anti, remove_result, max_seq, checkpoint_tail, replay_with_clear, sst_build, sst_stats, compact, levels_precedence,
+        read_amp, group_commit, wal_dump, wal_record_size, wal_encode, wal_crc, block_index, next_block_lookup, manifest_levels, name_parse, bloom_no_false_negative,
+    )
+}
+
+LOG_SQL = """log AS (SELECT seq, op, k, CASE WHEN op = 'PUT' THEN props ELSE '' END AS v FROM (
+    SELECT event_id + 1 AS seq, 'u' || CAST(user_id AS VARCHAR) AS k, props,
+           CASE WHEN event_id % 400 = 250 THEN 'CLEAR' WHEN event_type = 'error' THEN 'REMOVE' ELSE 'PUT' END AS op FROM events)),
+kv AS (SELECT * FROM log WHERE op <> 'CLEAR'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM kv),
+live AS (SELECT k, v, seq FROM ranked WHERE rn = 1 AND op = 'PUT' AND v <> ''),
+epochs AS (SELECT *, (seq - 1) // 1000 AS run FROM kv),
+runs AS (SELECT run, k, seq, op, v FROM (SELECT *, row_number() OVER (PARTITION BY run, k ORDER BY seq DESC) AS rn FROM epochs) WHERE rn = 1)"""
+
+# little-endian hex of an unsigned number
+_le = lambda x, n: " || ".join(f"substr(lpad(hex({x}), {2 * n}, '0'), {2 * i + 1}, 2)" for i in reversed(range(n)))
+_hex = lambda x: f"hex(encode({x}))"
+
+_oracles = {
+    "point_get": "SELECT k, v FROM live WHERE k = 'u7'",
+    "multi_get": "SELECT p.ord, p.k, live.v FROM (VALUES (0, 'u7'), (1, 'u42'), (2, 'nobody')) AS p(ord, k) LEFT JOIN live ON live.k = p.k",
+    "scan_live": "SELECT k, v, seq FROM live",
+    "keys": "SELECT k FROM live",
+    "size": "SELECT count(*) AS n FROM live",
+    "exists_semi": "SELECT DISTINCT k FROM kv WHERE k IN (SELECT k FROM live)",
+    "tombstoned_anti": "SELECT DISTINCT k FROM kv WHERE k NOT IN (SELECT k FROM live)",
+    "remove_result": "SELECT p.k, p.k IN (SELECT k FROM live) AS removed FROM (SELECT DISTINCT k FROM kv UNION ALL SELECT 'nobody') AS p",
+    "max_seq": "SELECT max(seq) AS max_seq FROM log",
+    "checkpoint_tail": "SELECT op, count(*) AS n, min(seq) AS first_seq FROM log WHERE seq > 0.9 * (SELECT max(seq) FROM log) GROUP BY op",
+    "replay_with_clear": """SELECT k, seq, op, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log
+        WHERE seq > (SELECT coalesce(max(seq), 0) FROM log WHERE op = 'CLEAR')) WHERE rn = 1""",
+    "sst_build": "SELECT run, k, seq, op, v FROM runs",
+    "sst_stats": "SELECT run, count(*) AS entries, min(k) AS min_key, max(k) AS max_key, CAST(sum(8 + strlen(k) + strlen(v)) AS BIGINT) AS bytes FROM runs GROUP BY run",
+    "compact": "SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY run DESC) AS rn FROM runs) WHERE rn = 1 AND op = 'PUT' AND v <> ''",
+    "levels_precedence": """SELECT k, op, v, level, number FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level, number DESC) AS rn
+        FROM (SELECT *, CASE WHEN run < 3 THEN 1 ELSE 0 END AS level, run AS number FROM runs)) WHERE rn = 1 AND op = 'PUT' AND v <> ''""",
+    "read_amp": "SELECT k, count(*) AS runs, count(*) FILTER (WHERE op <> 'PUT' OR v = '') AS tombstones FROM runs GROUP BY k",
+    "group_commit": "SELECT (seq - 1) // 1024 AS batch, count(*) AS records, min(seq) AS min_seq, max(seq) AS max_seq FROM log GROUP BY 1",
+    "wal_dump": """SELECT seq, 'WalRecord(' || concat_ws(', ', '序列号=' || seq, '操作类型=' || op, '键=''' || k || '''', '值=''' || v || '''', 'CRC=0') || ')' AS text
+        FROM log WHERE seq <= 100""",
+    "wal_record_size": "SELECT seq, CAST(25 + strlen(k) + strlen(v) AS INTEGER) AS bytes FROM log",
+    "wal_encode": f"""SELECT seq, {_le("25 + strlen(k) + strlen(v)", 4)} || lpad(CASE op WHEN 'PUT' THEN '00' WHEN 'REMOVE' THEN '01' ELSE '02' END, 2, '0')
+        || {_le("strlen(k)", 4)} || {_hex("k")} || {_le("strlen(v)", 4)} || {_hex("v")} || {_le("seq", 8)} AS record FROM log""",
+    "wal_crc": "SELECT seq, true AS holds, 25 + strlen(k) + strlen(v) AS bytes FROM log",
+    "manifest_levels": """SELECT level, count(*) AS tables, string_agg(path, ',' ORDER BY path) AS paths FROM (
+        SELECT DISTINCT level, 'sstables/L' || level || '/sstable-L' || level || '-' || lpad(CAST(run AS VARCHAR), 6, '0') || '.sst' AS path
+        FROM (SELECT run, CASE WHEN run < 3 THEN 1 ELSE 0 END AS level FROM runs)) GROUP BY level""",
+    "name_parse": "SELECT * FROM (VALUES ('sstable-L0-000001.sst', 0, 1::BIGINT), ('sstable-L1-000042.sst', 1, 42), ('sstable-000007.sst', 0, 7), ('sstable-L2-xyz.sst', 2, 0), ('other.txt', 0, 0), ('sstable-.sst', 0, 0), ('sstable-L12-000300.sst', 12, 300)) AS n(name, level, number)",
+    "bloom_no_false_negative": "SELECT DISTINCT k, true AS found FROM kv",
+}
+ORACLE_SQL: dict[str, str] = {name: f"WITH {LOG_SQL} {sql}" for name, sql in _oracles.items()}
+
+_BLOCKS = """
+ordered AS (SELECT run, k, CAST(8 + strlen(k) + strlen(v) AS BIGINT) AS n, row_number() OVER (PARTITION BY run ORDER BY k) AS i FROM runs),
+walk AS (
+    SELECT run, k, n, i, CAST(0 AS BIGINT) AS block_no, n AS held FROM ordered WHERE i = 1
+    UNION ALL
+    SELECT o.run, o.k, o.n, o.i, CASE WHEN w.held >= 512 THEN w.block_no + 1 ELSE w.block_no END, CASE WHEN w.held >= 512 THEN o.n ELSE w.held + o.n END
+    FROM walk AS w JOIN ordered AS o ON o.run = w.run AND o.i = w.i + 1),
+blocks AS (SELECT run, CAST(block_no AS INTEGER) AS block_no, min(k) AS first_key, max(k) AS last_key, CAST(sum(n) AS BIGINT) AS size, CAST(count(*) AS INTEGER) AS entries FROM walk GROUP BY run, block_no),
+placed AS (SELECT run, block_no, first_key, last_key, CAST(sum(size) OVER (PARTITION BY run ORDER BY block_no) - size AS BIGINT) AS "offset", size, entries FROM blocks)"""
+ORACLE_SQL["block_index"] = f"WITH RECURSIVE {LOG_SQL}, {_BLOCKS} SELECT * FROM placed"
+ORACLE_SQL["next_block_lookup"] = f"""WITH RECURSIVE {LOG_SQL}, {_BLOCKS} SELECT run, block_no, last_key, "offset", size FROM placed
+    WHERE last_key >= 'u5' QUALIFY row_number() OVER (PARTITION BY run ORDER BY last_key) = 1"""
