@@ -20,26 +20,32 @@ from strata.llm.tokens import text_ids
 
 K1, B = 1.2, 0.75
 SHARD_TOKENS = 2_500_000
+ROWS_AT_ONCE = 1000
 QUERY_TERMS = 48  # the rarest distinct ids of a seed ask the index
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """documents -> doc_id, row, n_tokens, ids: little-endian ids of the whole text (null: none) and the end id, two bytes each if the vocabulary allows."""
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int, number=None) -> DataFrame:
+    """documents -> doc_id, row, n_tokens, ids: little-endian ids of the whole text (null: none) and the end id, two bytes each if the vocabulary allows.
+
+    ``row`` tells rows apart, or is what ``number`` makes of an array of doc_ids.
+    """
 
     def encode(batches):
         from itertools import count
 
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId() << 33, count()
+        part, following = TaskContext.get().partitionId() << 33, count()
         texts_to_ids = text_ids(tokenizer)
         end = np.array([end_id], texts_to_ids.dtype).tobytes()
-        for batch in batches:
-            ids = [a.tobytes() + end for a in texts_to_ids.batch(batch.column("text").to_pylist())]
-            n = [len(b) // texts_to_ids.dtype.itemsize for b in ids]
-            rows = [part + next(number) for _ in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "row", "n_tokens", "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                ids = [a.tobytes() + end for a in texts_to_ids.batch(batch.column("text").to_pylist())]
+                n = [len(b) // texts_to_ids.dtype.itemsize for b in ids]
+                rows = number(batch.column("doc_id")) if number else pa.array([part + next(following) for _ in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows, pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "row", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, row long, n_tokens long, ids binary")
 

@@ -24,14 +24,25 @@ from strata.llm.packing import tokenise
 MAGIC, TRAILER, BLOCK = b"S8BIDS01", "S8BIDEND", 1024
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
-FILE_BYTES = 12_000_000  # of text in a file, about
+AT_ONCE = 256  # blocks
+FILE_BYTES = 8_000_000  # of text in a file, about
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """uint64 ids -> words, word offsets of the blocks (and the end), escapes."""
+    """Unsigned ids -> words, word offsets of the blocks (and the end), escapes; some hundred blocks at a time."""
+    words, offsets, escapes, n_words, n_escapes = [], [np.zeros(1, np.uint64)], [], 0, 0
+    for at in range(0, len(ids), AT_ONCE * BLOCK):
+        w, o, e = _encode(ids[at : at + AT_ONCE * BLOCK].astype(np.uint64), n_escapes)
+        words.append(w)
+        offsets.append(o[1:] + np.uint64(n_words))
+        escapes.append(e)
+        n_words, n_escapes = n_words + len(w), n_escapes + len(e)
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *words]), np.concatenate(offsets), np.concatenate([none, *escapes])
+
+
+def _encode(ids: np.ndarray, n_escapes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = -(-len(ids) // BLOCK)
-    if not blocks:
-        return np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)
     bits = np.full((blocks, BLOCK + 64), 255, np.uint8)
     flat = np.zeros(blocks * BLOCK, np.uint8)
     flat[: len(ids)] = np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(np.uint8)
@@ -70,7 +81,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             shift = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
             words[of] |= np.bitwise_or.reduce(ids[starts[of][:, None] + np.arange(COUNTS[s])] << shift, axis=1)
     escaped = np.flatnonzero(selector == 15)
-    words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
+    words[escaped] |= np.arange(n_escapes, n_escapes + len(escaped), dtype=np.uint64)
     return words, offsets, ids[starts[escaped]]
 
 
@@ -91,7 +102,7 @@ def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
 
 
 def to_file(part: int, doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
-    every = np.concatenate([np.zeros(0, np.uint64), *ids]).astype(np.uint64)
+    every = np.concatenate(ids) if ids else np.zeros(0, np.uint64)
     words, offsets, escapes = encode(every)
     head = np.array([part, len(ids), len(every), len(offsets) - 1, len(words), len(escapes)], "<u8")
     docs = np.array([0 if d is None else d for d in doc_ids], "<i8")
@@ -109,7 +120,10 @@ def from_file(data: bytes) -> tuple[int, list[int | None], list[np.ndarray]]:
     if sizes[-1] != len(body):
         raise ValueError("lengths in the file do not agree")
     doc_ids, null, lengths, offsets, coded, table = (body[a:b] for a, b in zip(sizes, sizes[1:]))
-    ids = decode(coded, table)
+    cuts = [*offsets[::AT_ONCE].tolist(), words]
+    parts = [decode(coded[a:b], table) for a, b in zip(cuts, cuts[1:])]
+    small = all(p.max(initial=0) < 1 << 32 for p in parts)
+    ids = np.concatenate([np.zeros(0, np.uint32 if small else np.uint64), *(p.astype(np.uint32) if small else p for p in parts)])
     if len(ids) != n or int(lengths.sum()) != n or int(offsets[-1]) != words:
         raise ValueError("counts in the file do not agree")
     ends = np.cumsum(lengths.astype(np.int64))
@@ -134,12 +148,10 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: in
     found = docs.select(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts)).alias("b")).first().b if shares else []
     bounds = np.array(sorted(set(found or [])), np.int64)
 
-    def dealt(batches):
-        for batch in batches:
-            ids = batch.column("doc_id")
-            part = np.searchsorted(bounds, ids.fill_null(0).to_numpy(), "left").astype(np.int64)
-            part[ids.is_null().to_numpy(zero_copy_only=False)] = -1
-            yield pa.RecordBatch.from_arrays([pa.array(part), ids, batch.column("n_tokens"), batch.column("ids")], ["part", "doc_id", "n_tokens", "ids"])
+    def dealt(ids: pa.Array) -> pa.Array:
+        part = np.searchsorted(bounds, ids.fill_null(0).to_numpy(), "left").astype(np.int64)
+        part[ids.is_null().to_numpy(zero_copy_only=False)] = -1
+        return pa.array(part)
 
     def one_file(key, pdf):
         order = pdf["doc_id"].argsort(kind="stable") if key[0] >= 0 else range(len(pdf))
@@ -147,35 +159,28 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: in
         doc_ids = [None] * len(pdf) if key[0] < 0 else [int(d) for d in pdf["doc_id"].iloc[order]]
         return pd.DataFrame({"data": [to_file(int(key[0]) + 1, doc_ids, ids)]})
 
-    tokens = tokenise(docs, tokenizer, end_id).drop("row").mapInArrow(dealt, "part long, doc_id long, n_tokens long, ids binary")
-    return write_blobs(tokens.groupBy("part").applyInPandas(one_file, "data binary"), "data", TRAILER)
+    tokens = tokenise(docs, tokenizer, end_id, dealt)
+    return write_blobs(tokens.withColumnRenamed("row", "part").groupBy("part").applyInPandas(one_file, "data binary"), "data", TRAILER)
 
 
-def read_files(spark, path: str) -> DataFrame:
-    """A folder of write_files -> doc_id, part, at (in the part), n_tokens, ids (little-endian unsigned 32-bit)."""
+def read_files(spark, path: str, digest: bool = False) -> DataFrame:
+    """A folder of write_files -> doc_id, part, at (in the part), n_tokens, ids (little-endian unsigned 32-bit), or their CRC-32."""
 
     def rows(batches):
         for batch in batches:
             for data in batch.column("content"):
                 part, doc_ids, ids = from_file(data.as_py())
                 n = np.array([len(i) for i in ids], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array([part] * len(n), pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())],
-                    ["doc_id", "part", "at", "n_tokens", "ids"],
-                )
+                raw = (i.astype("<u4").tobytes() for i in ids)
+                last = pa.array([zlib.crc32(x) for x in raw], pa.int64()) if digest else pa.array(list(raw), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([part] * len(n), pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n), last], ["doc_id", "part", "at", "n_tokens", "ids_crc32" if digest else "ids"])
 
-    return read_blobs(spark, path).select("content").mapInArrow(rows, "doc_id long, part long, at long, n_tokens long, ids binary")
+    return read_blobs(spark, path).select("content").mapInArrow(rows, "doc_id long, part long, at long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def read_digests(spark, path: str) -> DataFrame:
     """A folder of write_files -> doc_id, start, n_tokens, ids_crc32; start counts the ids of all documents before."""
-
-    def digest(batches):
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x.as_py()) for x in batch.column("ids")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], crc], ["doc_id", "part", "at", "n_tokens", "ids_crc32"])
-
-    rows = cut(read_files(spark, path).mapInArrow(digest, "doc_id long, part long, at long, n_tokens long, ids_crc32 long"))
+    rows = cut(read_files(spark, path, digest=True))
     # one row per file: a running sum over the files
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS before")
     return rows.join(totals, "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -12,8 +12,8 @@ import os
 
 import numpy as np
 
-KNOWN = 800_000  # pieces that a worker remembers
-CHUNK = 1_500_000  # characters that are cut at a time
+KNOWN = 500_000  # pieces that a worker remembers
+CHUNK = 1_000_000  # characters that are cut at a time
 
 SPACE, LETTER, NUMBER, MARK = range(4)
 KIND = np.full(256, MARK, np.uint8)
