@@ -24,7 +24,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}  # a text without it has no such span
-BYTE = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+BYTE = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])?"
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 TERM = len(KINDS)
 WORD = r"[\p{L}\p{N}]++"
