@@ -18,7 +18,7 @@ WINDOW, SURGE = 3, 60  # lines in a window, characters that a window of running
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|template|noscript|svg|math|iframe|object|textarea|select|title|head(?=[\s>]))\b(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
-    r"""|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attributes>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-z][^<>]*+>|<[!?/][^<>]*+\Z""",
+    r"""|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attributes>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-z][^<>]*+(?:>|\Z)""",
     re.I | re.S,
 )
 BLOCKS = set(
@@ -26,9 +26,7 @@ BLOCKS = set(
 )
 NESTED = set("address article aside blockquote body center dd details dialog div dl fieldset figure footer form header li main menu nav ol section table tbody td tfoot th thead tr ul button".split())
 APART = set("nav aside footer form menu dialog button search".split())
-MARKED = re.compile(
-    r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I
-)
+MARKED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS_APART = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|submenu|header|masthead|banner|footer|foot|sidebar|side|aside|widget|widgets|ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|comment|comments|disqus|respond|replies|reply|share|sharing|social|breadcrumb|breadcrumbs|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|searchbox|form|pagination|pager|tags|toolbar|skip|copyright|legal|disclaimer|contentinfo|complementary)(?:$|[\s_-]|\d)",
     re.I,
@@ -37,13 +35,12 @@ ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story)(?:$
 RIGHTS = re.compile(r"^\W*(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", re.I)
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, characters in links, 0: plain, 1: in an article, -1: apart) of each block in page order, gaps included."""
     out, text, links = [], [], 0
     stack: list[tuple[str, bool, bool]] = []  # name, apart, article
     apart = article = in_link = False
-    hidden = 0
-    at = 0
+    at, endless = 0, set()
 
     def close() -> None:
         nonlocal text, links
@@ -56,7 +53,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
     while True:
         m = TAG.search(page, at)
         piece = page[at : m.start() if m else len(page)]
-        if piece and not hidden:
+        if piece:
             piece = html.unescape(piece)
             text.append(piece)
             if in_link:
@@ -65,11 +62,13 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
             break
         at = m.end()
         if raw := m["raw"]:
-            ended = re.compile(rf"</{raw}\b[^>]*+>", re.I).search(page, at)
-            if raw.lower() != "head":
-                at = ended.end() if ended else len(page)
-            elif ended:
+            ended = None if raw.lower() in endless else re.compile(rf"</{raw}\b[^>]*+>", re.I).search(page, at)
+            if ended:
                 at = ended.end()
+            elif raw.lower() == "head":
+                endless.add("head")  # goes on to the body without an end
+            else:
+                at = len(page)
             continue
         name = (m["name"] or "").lower()
         if name == "a":
@@ -101,15 +100,15 @@ def main_text(page: str | None) -> str:
     for line, links, where in lines:
         empty = where < 0 or named and where != 1 or not named and (2 * links > len(line) or RIGHTS.search(line))
         weights.append(0 if empty else len(line))
-    if named:
-        return "\n".join(line for (line, _, _), w in zip(lines, weights) if w)
+    # in a page that names its article, any line of it is a surge
+    surge = 1 if named else SURGE
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     kept, region, best = [], [], []
     for i, total in enumerate([*sums, 0]):
         if total:
             region.append(i)
-        elif region:  # the dive; the windows of a region look ahead, so that it starts at its first line with text or a little before
-            if max(sums[j] for j in region) >= SURGE:
+        elif region:  # the dive; windows look ahead, so that a region may start a little before its first line with text
+            if max(sums[j] for j in region) >= surge:
                 kept += region
             if sum(weights[j] for j in region) > sum(weights[j] for j in best):
                 best = region
