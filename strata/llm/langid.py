@@ -169,7 +169,7 @@ def fit(docs: DataFrame, usable=None) -> Model:
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))).where(F.col("n") <= SAMPLE_DOCS).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.n)):
-        samples.setdefault(r.lang, []).append(r.text)
+        samples.setdefault(r.lang, []).append(r.text or "")
     return Model.fit(samples)
 
 
