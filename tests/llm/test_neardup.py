@@ -1,0 +1,111 @@
+import random
+import re
+
+import numpy as np
+import pytest
+
+from strata.llm import neardup
+
+SCHEMA = "doc_id long, text string, row string, bands int"
+
+
+def shingle_set(text, words):
+    w = [x for x in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode().lower()) if x]
+    return frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+
+
+def brute(rows, words, threshold=80):
+    sets = [shingle_set(t, words) for _, t, *_ in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if n and 100 * n >= threshold * (len(sets[i]) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, (d, *_) in enumerate(rows):
+        groups.setdefault(find(i), []).append(d)
+    smallest = {g: min((d for d in ids if d is not None), default=None) for g, ids in groups.items()}
+    key = lambda x: -1 if x is None else x
+    return sorted((key(rows[i][0]), len(sets[i]), key(smallest[find(i)])) for i in range(len(rows)))
+
+
+def corpus(seed=0):
+    """Chains of texts that change a little each, families around one text, exact copies, and a passage that many hold."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    passage, texts = " ".join(word() for _ in range(45)), []
+    for _ in range(4):
+        chain = [word() for _ in range(120)]
+        for _ in range(10):
+            texts.append(" ".join(chain))
+            for _ in range(3):
+                chain[rnd.randrange(len(chain))] = word()
+    for _ in range(3):
+        base = [word() for _ in range(100)]
+        for _ in range(25):
+            own = base[:]
+            for _ in range(rnd.randint(0, 7)):
+                own[rnd.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+    texts += [passage + " " + " ".join(word() for _ in range(rnd.randint(5, 30))) for _ in range(40)]
+    texts += [rnd.choice(texts).upper() for _ in range(20)]
+    texts += [None, "", " \t\n", "One", "one", "a b c", "A\x0bB\x0cC", "a b c d", " ".join(word() for _ in range(30_000)), "É x y z", "é x y z"]
+    rnd.shuffle(texts)
+    return [(i + 10, t, "x", 1) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_components_equal_brute_force(spark, words):
+    rows = corpus(words) + [(3, "some text of a row without any copy", "x", 1), (3, "another text under the same name here", "x", 1), (None, "a b c d", "x", 1), (None, None, "x", 1)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(6), words=words).collect()
+    key = lambda x: -1 if x is None else x
+    assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in found) == brute(rows, words)
+    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in found)
+
+
+def test_one_document_of_each_group_stays(spark):
+    rows = corpus(9)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = neardup.one_of_each(docs, words=5)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, c in brute(rows, 5) if d == c)
+    assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_links_that_no_first_member_has(spark):
+    """Two that are alike, but not like their bucket's first member, are found by the prefix filter."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(60)]
+    rows = [(i, " ".join(base + [word() for _ in range(16)]), "x", 1) for i in range(30)]
+    for i in range(30):
+        rows.append((100 + i, rows[i][1] + " " + word(), "x", 1))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), words=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows, 4)
+
+
+def test_tensored_keys_meet_at_the_threshold():
+    """The chance that two sets of similarity 0.8 share no key is that of one collection without a common band, twice at most."""
+    rnd, missed = np.random.default_rng(5), 0
+    for _ in range(300):
+        common, a, b = (rnd.integers(0, 1 << 63, n, dtype=np.uint64) for n in (160, 20, 20))
+        bands = []
+        for own in (np.r_[common, a], np.r_[common, b]):
+            mins = np.array([((own ^ x) * m).min() for x, m in zip(neardup.XOR, neardup.MULTIPLY)])
+            bands.append([tuple(mins[i * neardup.BAND : (i + 1) * neardup.BAND]) for i in range(2 * neardup.TABLES)])
+        same = [x == y for x, y in zip(*bands)]
+        missed += not (any(same[: neardup.TABLES]) and any(same[neardup.TABLES :]))
+    assert missed <= 2
+
+
+def test_components_of_chains(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (102, 100)]
+    found = {r.row: r.comp for r in neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert all(found[i] == 0 for i in range(41)) and {found[i] for i in (100, 101, 102, 103)} == {100}
