@@ -7,6 +7,7 @@ snapshot stays as it is while others write. There is one writer at a time; a sec
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -40,6 +41,7 @@ class WalOptions:
     group_commit: bool = False
     max_buffer_bytes: int = 256 * 1024
     max_records: int = 1024
+    max_interval_ms: float = 10.0  # since the last commit, seen when the next write comes
     sync_mode: SyncMode = SyncMode.FDATASYNC
 
 
@@ -57,6 +59,7 @@ class Store:
         self.manifests = Manifests(self.files)
         self.manifest = Manifest()
         self.pending: list[tuple[str, str, str]] = []
+        self.committed_at = time.monotonic()
         self.open()
 
     # opening and state
@@ -133,11 +136,12 @@ class Store:
         self.pending.append((op, key, value))
         wal = self.options.wal
         held = sum(record.FIXED + len(k.encode()) + len(v.encode()) for _, k, v in self.pending)
-        if not wal.group_commit or len(self.pending) >= wal.max_records or held >= wal.max_buffer_bytes:
+        if not wal.group_commit or len(self.pending) >= wal.max_records or held >= wal.max_buffer_bytes or (time.monotonic() - self.committed_at) * 1000 >= wal.max_interval_ms:
             self._commit_pending()
         return True
 
     def _commit_pending(self) -> None:
+        self.committed_at = time.monotonic()
         if self.pending:
             rows, self.pending = self.pending, []
             first = self.manifest.last_seq + 1

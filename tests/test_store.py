@@ -79,7 +79,7 @@ def test_run_all_and_multi_get(spark, tmp_path):
 
 
 def test_group_commit_waits_and_reads_see_it(spark, tmp_path):
-    s = Store(spark, str(tmp_path), Options(wal=WalOptions(group_commit=True, max_records=3)))
+    s = Store(spark, str(tmp_path), Options(wal=WalOptions(group_commit=True, max_records=3, max_interval_ms=60_000)))
     s.put("a", "1")
     s.put("b", "2")
     assert s.manifest.version == 0
@@ -87,6 +87,9 @@ def test_group_commit_waits_and_reads_see_it(spark, tmp_path):
     assert s.manifest.version == 1 and s.last_seq() == 3
     s.put("d", "4")
     assert s.get("d") == "4"
+    s.configure_wal(WalOptions(group_commit=True, max_interval_ms=0))
+    s.put("e", "5")
+    assert s.pending == [] and s.last_seq() == 5
 
 
 def test_two_writers_conflict(spark, tmp_path):
