@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strata import log
@@ -169,13 +169,16 @@ class Store:
         sorted_rows = shaped.sort("__order") if ordinal else shaped
         sorted_rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).drop("__order").write.parquet(self.files.at(draft))
         stored = self.spark.read.parquet(self.files.at(draft))
-        parts = stored.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
         # one row per partition of the batch
-        numbered = stored.join(parts.select("part", "first", "before"), "part").select((F.col("at") - F.col("first") + F.col("before") + self.manifest.last_seq + 1).alias("seq"), "op", "k", "v")
-        n = stored.count()
+        parts = stored.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("first")).orderBy("part").collect()
+        n, shifts = 0, []
+        for p in parts:
+            shifts.append((p.part, self.manifest.last_seq + 1 + n - p.first))
+            n += p.n
+        numbered = stored.join(F.broadcast(self.spark.createDataFrame(shifts, "part int, shift long")), "part").select((F.col("at") + F.col("shift")).alias("seq"), "op", "k", "v")
         try:
             if n:
-                self._append(numbered, n, stream)
+                self._append(numbered, n, stream, clears="op" in rows.columns)
             elif stream:
                 self._publish(self.manifest.with_(streams=self.manifest.streams | {stream[0]: stream[1]}))
         finally:
@@ -219,12 +222,12 @@ class Store:
         rows.write.parquet(self.files.at(path))
         return path
 
-    def _append(self, rows: DataFrame, n: int, stream: tuple[str, int] | None = None) -> None:
+    def _append(self, rows: DataFrame, n: int, stream: tuple[str, int] | None = None, clears: bool = False) -> None:
         m = self.manifest
         path = self._store_log(rows)
         first, last = m.last_seq + 1, m.last_seq + n
         cleared = m.cleared_seq
-        if stream or "op" in rows.columns:
+        if clears:
             stored = self._read([path]).where(F.col("op") == CLEAR).agg(F.max("seq")).first()[0]
             cleared = max(cleared, stored or 0)
         batches = tuple(b for b in (*m.batches, Batch(path, first, last)) if b.last_seq > cleared or b.path == path)
@@ -239,12 +242,17 @@ class Store:
 
     # runs
 
-    def _write_run(self, rows: DataFrame, level: int, number: int, entries: int, last_seq: int) -> Run:
-        """A run is sorted by key over all its files, with Bloom filters on keys: lookups skip files and row groups."""
+    def _write_run(self, rows: DataFrame, level: int, most: int, last_seq: int) -> tuple[Run, ...]:
+        """A run is sorted by key over all its files, with Bloom filters on keys, made for ``most`` of them: lookups skip files and row groups. No rows, no run."""
+        number = self.manifest.next_run
         path = f"runs/L{level}/run-{number:06d}-{uuid.uuid4().hex}"
-        writer = rows.sort("k").select("seq", "op", "k", "v").write
-        writer.option("parquet.bloom.filter.enabled#k", "true").option("parquet.bloom.filter.expected.ndv#k", str(min(max(entries, 1), BLOOM_LIMIT))).parquet(self.files.at(path))
-        return Run(level, number, path, entries, last_seq)
+        seen = Observation()
+        writer = rows.sort("k").select("seq", "op", "k", "v").observe(seen, F.count(F.lit(1)).alias("n")).write
+        writer.option("parquet.bloom.filter.enabled#k", "true").option("parquet.bloom.filter.expected.ndv#k", str(min(max(most, 1), BLOOM_LIMIT))).parquet(self.files.at(path))
+        entries = seen.get["n"]
+        if not entries:
+            self.files.delete(path)
+        return (Run(level, number, path, entries, last_seq),) if entries else ()
 
     def flush(self) -> bool:
         """The log's batches become a run of level 0, tombstones kept; False if there is nothing to flush. Batches go after the manifest is published."""
@@ -252,12 +260,8 @@ class Store:
         m = self.manifest
         if not m.batches:
             return False
-        rows = lww.latest(self._read(b.path for b in m.batches).where(F.col("seq") > m.cleared_seq)).persist()
-        try:
-            entries = rows.count()
-            run = (self._write_run(rows, 0, m.next_run, entries, m.last_seq),) if entries else ()
-        finally:
-            rows.unpersist()
+        rows = lww.latest(self._read(b.path for b in m.batches).where(F.col("seq") > m.cleared_seq))
+        run = self._write_run(rows, 0, sum(b.last_seq - b.first_seq + 1 for b in m.batches), m.last_seq)
         self._publish(m.with_(batches=(), flushed_seq=m.last_seq, runs=m.runs + run, next_run=m.next_run + 1))
         if self.options.compact_runs and len(self.manifest.runs) > self.options.compact_runs:
             self.compact()
@@ -269,12 +273,8 @@ class Store:
         m = self.manifest
         if not m.runs or len(m.runs) == 1 and m.runs[0].level == 1:
             return False
-        rows = lww.latest(self._read(r.path for r in m.runs).where(F.col("seq") > m.cleared_seq)).where(lww.is_live()).persist()
-        try:
-            entries = rows.count()
-            run = (self._write_run(rows, 1, m.next_run, entries, max(r.last_seq for r in m.runs)),) if entries else ()
-        finally:
-            rows.unpersist()
+        rows = lww.latest(self._read(r.path for r in m.runs).where(F.col("seq") > m.cleared_seq)).where(lww.is_live())
+        run = self._write_run(rows, 1, sum(r.entries for r in m.runs), max(r.last_seq for r in m.runs))
         self._publish(m.with_(runs=run, next_run=m.next_run + 1))
         return True
 
