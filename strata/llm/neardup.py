@@ -112,37 +112,52 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def bucket_leads(classes: DataFrame) -> DataFrame:
-    """(row, bands) -> (key, u, v): members u and first members v of the buckets of each batch, under keys of no meaning, and with null v the first members u themselves under the bucket's key."""
+    """(row, bands) -> (key, u, v, size): for each bucket of a batch its first member u, with null v and the bucket's size there; and the batch's pairs of a member u and a first member v.
+
+    A pair of a bucket of two comes under the bucket's key, with size 0; pairs of larger ones, once for the batch, under keys of no meaning, with size 1.
+    """
 
     def run(batches):
         grid_a, grid_b = (x.ravel() for x in np.meshgrid(np.arange(TABLES), np.arange(TABLES), indexing="ij"))
         table = (grid_a * TABLES + grid_b + 1).astype(np.uint64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            order = np.argsort(batch.column("row").to_numpy(), kind="stable")
-            row = batch.column("row").to_numpy()[order]
-            bands = batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(len(row), 2 * TABLES)[order]
-            keys = mixed(mixed(bands[:, :TABLES][:, grid_a] + table) + bands[:, TABLES:][:, grid_b]).ravel()
-            who = np.repeat(np.arange(len(row)), TABLES * TABLES)
-            order = np.argsort(keys, kind="stable")  # so that the smallest row comes first in its bucket
-            keys, who = keys[order], who[order]
-            first = np.r_[True, keys[1:] != keys[:-1]]
-            lead = who[np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))]
-            pairs = np.unique(who[~first] * len(row) + lead[~first])
-            u, v, top = row[pairs // len(row)], row[pairs % len(row)], row[who[first]]
-            key = np.r_[mixed(u.astype(np.uint64)), keys[first]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.r_[u, top]), pa.concat_arrays([pa.array(v), pa.nulls(len(top), pa.int64())])], ["key", "u", "v"])
-
-    return classes.select("row", "bands").mapInArrow(run, "key long, u long, v long")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                order = np.argsort(batch.column("row").to_numpy(), kind="stable")
+                row = batch.column("row").to_numpy()[order]
+                bands = batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(len(row), 2 * TABLES)[order]
+                keys = mixed(mixed(bands[:, :TABLES][:, grid_a] + table) + bands[:, TABLES:][:, grid_b]).ravel()
+                who = np.repeat(np.arange(len(row)), TABLES * TABLES)
+                order = np.argsort(keys, kind="stable")  # so that the smallest row comes first in its bucket
+                keys, who = keys[order], who[order]
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                size = np.diff(first, append=len(keys))
+                lead, n = np.repeat(who[first], size), np.repeat(size, size)
+                later = np.ones(len(keys), bool)
+                later[first] = False
+                two = later & (n == 2)
+                many = np.unique(who[later & (n > 2)] * len(row) + lead[later & (n > 2)])
+                u = np.r_[row[who[two]], row[many // len(row)], row[who[first]]]
+                v = pa.concat_arrays([pa.array(np.r_[row[lead[two]], row[many % len(row)]]), pa.nulls(len(first), pa.int64())])
+                key = np.r_[keys[two], mixed(many.astype(np.uint64) + row[0].astype(np.uint64)), keys[first]].view(np.int64)
+                sizes = np.r_[np.zeros(two.sum(), np.int64), np.ones(len(many), np.int64), size].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(u), v, pa.array(sizes)], ["key", "u", "v", "size"])
+
+    return classes.select("row", "bands").mapInArrow(run, "key long, u long, v long, size int")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v, n_u, n_v), v the first member of a bucket that u is in. In the shuffle, a bucket has one row per batch at most."""
-    lead = F.min(F.when(F.col("v").isNull(), F.col("u"))).over(Window.partitionBy("key"))
-    pairs = cut(bucket_leads(classes).select("u", F.coalesce("v", lead).alias("v")).where("u <> v").distinct())
+    """Distinct pairs (u, v, n_u, n_v, more): v the first member of a bucket that u is in, and whether any of these buckets has more members than two.
+
+    In the shuffle, a bucket has two rows per batch at most.
+    """
+    key, alone = Window.partitionBy("key"), F.col("v").isNull()
+    lead, total = F.min(F.when(alone, F.col("u"))).over(key), F.sum(F.when(alone, F.col("size"))).over(key)
+    more = F.when(alone | (F.col("size") == 0), total > 2).otherwise(True)
+    pairs = bucket_leads(classes).select("u", F.coalesce("v", lead).alias("v"), more.alias("more")).where("u <> v").groupBy("u", "v").agg(F.max("more").alias("more"))
+    pairs = cut(pairs)
     size = lambda c: classes.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"))
-    return cut(pairs.join(size("u"), "u").join(size("v"), "v").select("u", "v", "n_u", "n_v"))
+    return cut(pairs.join(size("u"), "u").join(size("v"), "v").select("u", "v", "n_u", "n_v", "more"))
 
 
 def sets_of(sketches: DataFrame, rows: DataFrame, words: int) -> DataFrame:
@@ -194,14 +209,15 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(out)
 
 
-def left_over(found: DataFrame, comps: DataFrame, sketches: DataFrame, threshold: int, words: int) -> DataFrame:
-    """Pairs (u, v) over the components that share a bucket without a link: every pair of these that can be alike.
+def left_over(found: DataFrame, comps: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (u, v) over the components that share a bucket without a link: every pair of these that is alike.
 
     Shingles are ordered by how few of the rows hold them. Of two alike sets, the smaller has one of its first n - ceil(2 t n / (1 + t)) + 1
-    shingles among the first n - ceil(t n) + 1 of the larger.
+    shingles among the first n - ceil(t n) + 1 of the larger, and at the first that they share, both have enough shingles left.
     """
     of = lambda c: comps.select(F.col("row").alias(c), F.col("comp").alias(f"comp_{c}"))
-    apart = found.join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", F.coalesce("comp_u", "u").alias("cu"), F.coalesce("comp_v", "v").alias("cv")).where("cu <> cv")
+    # a bucket of two holds no other pair
+    apart = found.where("more").join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", F.coalesce("comp_u", "u").alias("cu"), F.coalesce("comp_v", "v").alias("cv")).where("cu <> cv")
     apart = cut(apart)
     if apart.isEmpty():
         return apart.select("u", "v")
@@ -209,20 +225,19 @@ def left_over(found: DataFrame, comps: DataFrame, sketches: DataFrame, threshold
     touched = apart.select(F.col("cu").alias("comp")).unionByName(apart.select(F.col("cv").alias("comp"))).distinct()
     alone = apart.select(F.col("u").alias("row")).unionByName(apart.select(F.col("v").alias("row"))).distinct().withColumn("comp", F.col("row")).join(comps, "row", "left_anti")
     members = cut(comps.join(touched, "comp", "left_semi").select("row", "comp").unionByName(alone.select("row", "comp")))
-    sets = cut(sets_of(sketches, members.select("row"), words))
-    each = sets.select("row", F.size("sh").alias("n"), F.explode("sh").alias("sh"))
-    counts = each.groupBy("sh").agg(F.count("*").alias("df"))
+    each = sets.join(members, "row", "left_semi").select("row", F.size("sh").alias("n"), F.explode("sh").alias("sh"))
+    counts = each.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")  # a shingle of one row finds nobody, and comes first
+    known = each.join(counts, "sh", "left").withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("df", F.lit(1)), "sh")) - 1)
     t = threshold / 100
-    ranked = each.join(counts, "sh").withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy("df", "sh")))
     probe = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
     index = F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1
-    # a shingle of one row finds nobody
-    prefix = ranked.where(F.col("place") <= probe).where("df > 1").withColumn("short", F.col("place") <= index)
-    prefix = cut(prefix.join(members, "row").join(open_rows.withColumn("open", F.lit(True)), "row", "left").select("sh", "row", "n", "comp", F.coalesce("open", F.lit(False)).alias("open"), "short"))
-    a = prefix.select("sh", *[F.col(c).alias(f"{c}_u") for c in ("row", "n", "comp", "open")])
-    b = prefix.where("short").select("sh", *[F.col(c).alias(f"{c}_v") for c in ("row", "n", "comp", "open")])
+    prefix = known.where((F.col("place") < probe) & F.col("df").isNotNull()).withColumns({"left": F.col("n") - F.col("place"), "short": F.col("place") < index})
+    prefix = cut(prefix.join(members, "row").join(open_rows.withColumn("open", F.lit(True)), "row", "left").select("sh", "row", "n", "left", "comp", F.coalesce("open", F.lit(False)).alias("open"), "short"))
+    named = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("row", "n", "left", "comp", "open")]
     larger = (F.col("n_u") > F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("row_u") > F.col("row_v")))
-    pairs = a.join(b, "sh").where(larger & (F.col("comp_u") != F.col("comp_v")) & (F.col("open_u") | F.col("open_v")) & fits(threshold))
+    enough = (100 + threshold) * F.least("left_u", "left_v") >= threshold * (F.col("n_u") + F.col("n_v"))
+    met = prefix.select("sh", *named("u")).join(prefix.where("short").select("sh", *named("v")), "sh")
+    pairs = met.where(larger & enough & (F.col("comp_u") != F.col("comp_v")) & (F.col("open_u") | F.col("open_v")) & fits(threshold))
     pairs = cut(pairs.select(F.col("row_u").alias("u"), F.col("row_v").alias("v")).distinct())
     return confirmed(pairs, sets, threshold)
 
@@ -236,11 +251,12 @@ def link(sketches: DataFrame, threshold: int, words: int) -> DataFrame:
     later = cut(rows.where("row <> class").select("row"))
     classes = sketches.where("same is not null").select("row", F.col("n_shingles").alias("n"), "bands").join(later, "row", "left_anti")
     found = candidates(classes)
-    pairs = cut(found.where(fits(threshold)).select("u", "v"))
-    sets = cut(sets_of(sketches, pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct(), words))
-    edges = confirmed(pairs, sets, threshold)
+    asked = found.where(F.col("more") | fits(threshold))
+    rows_asked = cut(asked.select(F.col("u").alias("row")).unionByName(asked.select(F.col("v").alias("row"))).distinct())
+    sets = cut(sets_of(sketches, rows_asked, words))
+    edges = confirmed(found.where(fits(threshold)).select("u", "v"), sets, threshold)
     comps = components(edges)
-    more = left_over(found, comps, sketches, threshold, words)
+    more = left_over(found, comps, sets, threshold)
     if not more.isEmpty():
         comps = components(edges.unionByName(more))
     # the smallest doc_id of a component, over its classes
