@@ -67,3 +67,29 @@ def group_commits(log: DataFrame, max_records: int = 1024) -> DataFrame:
     """The log as batches of ``max_records``: batch, records, min_seq, max_seq."""
     batch = F.floor((F.col("seq") - 1) / max_records).alias("batch")
     return log.groupBy(batch).agg(F.count("*").alias("records"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
+
+
+def memtable_epochs(log: DataFrame, entries: int) -> DataFrame:
+    """A log with ``epoch``: the memtable that each record falls into, if one is flushed as soon as it holds ``entries`` different keys.
+
+    Each boundary depends on the one before, so the log goes through one task in order. Runs cut at fixed sequence numbers give the
+    same view and need no such pass; this is for comparing with logs of other engines.
+    """
+
+    def walk(batches):
+        held: set[str] = set()
+        epoch = 0
+        for batch in batches:
+            epochs = []
+            for op, k in zip(batch["op"], batch["k"]):
+                epochs.append(epoch)
+                if op == "CLEAR":
+                    held.clear()
+                    continue
+                held.add(k)
+                if len(held) >= entries:
+                    held.clear()
+                    epoch += 1
+            yield batch.assign(epoch=epochs)
+
+    return log.select("seq", "op", "k", "v").repartition(1).sortWithinPartitions("seq").mapInPandas(walk, "seq long, op string, k string, v string, epoch long")

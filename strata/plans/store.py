@@ -60,6 +60,7 @@ class Store:
         self.manifest = Manifest()
         self.pending: list[tuple[str, str, str]] = []
         self.committed_at = time.monotonic()
+        self._cache: tuple[int, DataFrame] | None = None
         self.open()
 
     # opening and state
@@ -95,6 +96,15 @@ class Store:
         self._commit_pending()
         return lww.live(self._rows()).select("k", "v")
 
+    def cached(self) -> DataFrame:
+        """The live view, kept in memory and on the executors' disks until a newer version is asked for."""
+        self._commit_pending()
+        if self._cache is None or self._cache[0] != self.manifest.version:
+            if self._cache:
+                self._cache[1].unpersist()
+            self._cache = (self.manifest.version, self.live().persist())
+        return self._cache[1]
+
     def keys(self) -> DataFrame:
         return self.live().select("k").orderBy("k")
 

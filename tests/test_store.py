@@ -179,3 +179,18 @@ def test_logging(tmp_path):
 def test_block_cuts():
     assert list(blocks.cut_blocks([10, 10, 10, 5], 20)) == [(0, 2), (2, 4)]
     assert list(blocks.cut_blocks([], 20)) == []
+
+
+def test_memtable_epochs(spark):
+    ops = [("PUT", "a"), ("PUT", "a"), ("PUT", "b"), ("REMOVE", "c"), ("PUT", "d"), ("CLEAR", ""), ("PUT", "e"), ("PUT", "f"), ("PUT", "e"), ("PUT", "g")]
+    log = spark.createDataFrame([(i + 1, op, k, "") for i, (op, k) in enumerate(ops)], "seq long, op string, k string, v string").repartition(3)
+    found = {r.seq: r.epoch for r in blocks.memtable_epochs(log, 3).collect()}
+    assert [found[i + 1] for i in range(10)] == [0, 0, 0, 0, 1, 1, 1, 1, 1, 1]
+
+
+def test_cache_follows_versions(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.put("a", "1")
+    assert s.cached().count() == 1 and s.cached() is s.cached()
+    s.put("b", "2")
+    assert {r.k for r in s.cached().collect()} == {"a", "b"}
