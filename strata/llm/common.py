@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REPLICAS = 16  # salts that spread one hot key in joins
+BROADCAST_ROWS = 50_000  # small rows of a stored table that are broadcast at most
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -24,17 +29,31 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The rows of df, written once to the shared folder and read from there: nothing is computed twice, and a lost executor costs no more than its running tasks."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing will read again. Others stay until the shared folder is cleared."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def salted_left(rows: DataFrame, groups: DataFrame, key: str, by: str, replicas: int = REPLICAS) -> DataFrame:
     """rows LEFT JOIN groups USING (key), for a key that may hold a third of all rows.
 
-    ``groups`` has one small row per key and is repeated once for each salt; ``rows`` are dealt over the salts by a hash of ``by``.
+    ``groups`` is a stored table with one small row per key. It is counted, and broadcast up to BROADCAST_ROWS; beyond that it is
+    repeated once for each salt, and ``rows`` are dealt over the salts by a hash of ``by``.
     """
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), key, "left")
     left = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(replicas)).cast("int"))
     right = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
-    return left.join(right, [key, "__salt"], "left").drop("__salt")
+    return left.join(right.hint("merge"), [key, "__salt"], "left").drop("__salt")
 
 
 def write_blobs(df: DataFrame, column: str, trailer: str) -> str:

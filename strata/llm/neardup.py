@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, salted_left
+from strata.llm.common import cut, drop, salted_left
 from strata.llm.tokens import piece_hashes
 
 BAND, TABLES = 3, 12  # minhashes in a band (two bands make a key), bands in each collection
@@ -243,7 +243,7 @@ def left_over(found: DataFrame, comps: DataFrame, sets: DataFrame, threshold: in
 
 
 def link(sketches: DataFrame, threshold: int, words: int) -> DataFrame:
-    """Stored sketches -> one row per row: row, doc_id, n_shingles, component_id."""
+    """Stored sketches -> one row per row: row, doc_id, n_shingles, component_id. Deletes the sketches."""
     groups = sketches.where("same is not null").groupBy("same").agg(F.min("row").alias("first"), F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
     groups = cut(groups.where("copies > 1").select("same", "first", "first_doc"))
     rows = salted_left(sketches.select("row", "doc_id", "n_shingles", "same"), groups, "same", "row")
@@ -263,6 +263,7 @@ def link(sketches: DataFrame, threshold: int, words: int) -> DataFrame:
     named = rows.where("row = class").select(F.col("row"), "class_doc").join(comps, "row")
     smallest = named.groupBy("comp").agg(F.min("class_doc").alias("component_doc"))
     labels = cut(comps.join(smallest, "comp").select(F.col("row").alias("class"), "component_doc"))
+    drop(sketches, sets)  # rows and labels are stored, too
     return salted_left(rows, labels, "class", "row").select("row", "doc_id", "n_shingles", F.coalesce("component_doc", "class_doc", "doc_id").alias("component_id"))
 
 

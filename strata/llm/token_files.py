@@ -13,7 +13,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,8 @@ MAGIC, TRAILER, BLOCK = b"S8BIDS01", "S8BIDEND", 1024
 COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 AT_ONCE = 256  # blocks
-FILE_BYTES = 8_000_000  # of text in a file, about
+FILE_IDS = 3_000_000  # in a file, about
+PART_BYTES, MAX_PARTS = 8_000_000, 4096  # of text in a range of documents, about; ranges
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,10 +140,14 @@ def block(data: bytes, number: int) -> np.ndarray:
     return decode(body[first + a : first + b], body[first + words : first + words + escapes])
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: int = FILE_BYTES) -> str:
-    """Writes documents in ascending order of doc_id (nulls first; rows that repeat an id in any order); gives the folder."""
-    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    parts = max(1, -(-(size + 16 * n) // file_bytes))
+def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS, parts: int | None = None) -> str:
+    """Writes documents in ascending order of doc_id (nulls first; rows that repeat an id in any order); gives the folder.
+
+    Ranges of ids, MAX_PARTS at most, are dealt to tasks, and sorted there; files are cut from the sorted stream.
+    """
+    if parts is None:
+        n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        parts = min(MAX_PARTS, max(1, -(-(size + 16 * n) // PART_BYTES)))
     shares = [i / parts for i in range(1, parts)]
     found = docs.select(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts)).alias("b")).first().b if shares else []
     bounds = np.array(sorted(set(found or [])), np.int64)
@@ -153,14 +157,30 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: in
         part[ids.is_null().to_numpy(zero_copy_only=False)] = -1
         return pa.array(part)
 
-    def one_file(key, pdf):
-        order = pdf["doc_id"].argsort(kind="stable") if key[0] >= 0 else range(len(pdf))
-        ids = [np.frombuffer(raw, f"<u{len(raw) // k}") for raw, k in zip(pdf["ids"].iloc[order], pdf["n_tokens"].iloc[order])]
-        doc_ids = [None] * len(pdf) if key[0] < 0 else [int(d) for d in pdf["doc_id"].iloc[order]]
-        return pd.DataFrame({"data": [to_file(int(key[0]) + 1, doc_ids, ids)]})
+    def cut_files(batches):
+        held: tuple[list, list] = ([], [])
+        size = chunk = at = 0
+
+        def done():
+            nonlocal held, size, chunk
+            out = pa.RecordBatch.from_arrays([pa.array([to_file((at + 1 << 32) + chunk, *held)], pa.binary())], ["data"])
+            held, size, chunk = ([], []), 0, chunk + 1
+            return out
+
+        for batch in batches:
+            for part, doc_id, n, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "ids"))):
+                if held[0] and (part != at or size >= file_ids):
+                    yield done()
+                if part != at:
+                    at, chunk = part, 0
+                held[0].append(doc_id)
+                held[1].append(np.frombuffer(raw, f"<u{len(raw) // n}"))
+                size += n
+        if held[0]:
+            yield done()
 
-    tokens = tokenise(docs, tokenizer, end_id, dealt)
-    return write_blobs(tokens.withColumnRenamed("row", "part").groupBy("part").applyInPandas(one_file, "data binary"), "data", TRAILER)
+    tokens = tokenise(docs, tokenizer, end_id, dealt).withColumnRenamed("row", "part")
+    return write_blobs(tokens.repartition("part").sortWithinPartitions("part", "doc_id").mapInArrow(cut_files, "data binary"), "data", TRAILER)
 
 
 def read_files(spark, path: str, digest: bool = False) -> DataFrame:
@@ -186,10 +206,10 @@ def read_digests(spark, path: str) -> DataFrame:
     return rows.join(totals, "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, file_bytes: int = FILE_BYTES) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS, parts: int | None = None) -> DataFrame:
     """documents -> files -> one row per row: doc_id, start, n_tokens, ids_crc32, all from the files.
 
     Null and empty texts are the end id alone. Null ids come first, rows that repeat an id follow each other, an empty table gives
     no rows, and further columns are ignored.
     """
-    return read_digests(docs.sparkSession, write_files(docs, tokenizer, end_id, file_bytes))
+    return read_digests(docs.sparkSession, write_files(docs, tokenizer, end_id, file_ids, parts))

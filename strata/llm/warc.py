@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import read_blobs, salted_left, write_blobs
+from strata.llm.common import cut, read_blobs, salted_left, write_blobs
 
 DICTIONARY_FRAME, TRAILER_FRAME = 0x184D2A5D, "P*M\x18\0\0\0\0"  # the trailer is an empty skippable frame
 SAMPLE_ROWS, SAMPLE_CHARS = 200, 4096  # what the dictionary is trained on
@@ -140,7 +140,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 100, archive_bytes: int
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html, 256).alias("digest"))
     first = keyed.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    rows = salted_left(keyed, first, "digest", "page_id")
+    rows = salted_left(keyed, cut(first), "digest", "page_id")
 
     def pack(batches):
         held, size = [], 0

@@ -6,16 +6,15 @@ import sys
 from collections import Counter
 
 import numpy as np
-import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+import corpus_pipeline  # noqa: E402
 import test_neardup  # noqa: E402
 
 from strata.llm.common import cut  # noqa: E402
 from strata.llm.queries import tokenizer  # noqa: E402
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
 
 

@@ -99,7 +99,7 @@ def test_blocks_are_read_alone_and_damage_is_found():
 
 def test_token_files_hold_the_documents_in_order(spark, library, odd_docs):
     docs = spark.createDataFrame(odd_docs, SCHEMA)
-    out = token_files.token_files(docs, tokenizer(), file_bytes=3000).toPandas().sort_values("start", ignore_index=True)
+    out = token_files.token_files(docs, tokenizer(), file_ids=700, parts=5).toPandas().sort_values("start", ignore_index=True)
     assert out["start"].tolist() == (out["n_tokens"].cumsum() - out["n_tokens"]).tolist()
     assert [-1 if pd.isna(d) else int(d) for d in out["doc_id"]] == sorted(-1 if d is None else d for d, *_ in odd_docs)
     want = sorted((-1 if d is None else d, zlib.crc32(np.array(library(t) + [1], "<u4").tobytes())) for d, t, *_ in odd_docs)
