@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from strata.llm.common import cut, drop, salted_left
 from strata.llm.tokens import piece_hashes
 
-BAND, TABLES = 3, 12  # minhashes in a band (two bands make a key), bands in each collection
+BAND, TABLES = 3, 14  # minhashes in a band (two bands make a key), bands in each collection
 THRESHOLD = 80  # per cent
 WORDS = 5  # in a shingle
 CHUNK = 2_000_000  # bytes of text at a time
