@@ -242,12 +242,12 @@ def left_over(found: DataFrame, comps: DataFrame, sets: DataFrame, threshold: in
     return confirmed(pairs, sets, threshold)
 
 
-def link(sketches: DataFrame, threshold: int, words: int) -> DataFrame:
-    """Stored sketches -> one row per row: row, doc_id, n_shingles, component_id. Deletes the sketches."""
+def link(sketches: DataFrame, threshold: int, words: int, *carried: str) -> DataFrame:
+    """Stored sketches -> one row per row: row, doc_id, n_shingles, ``carried`` columns, component_id. Deletes the sketches."""
     groups = sketches.where("same is not null").groupBy("same").agg(F.min("row").alias("first"), F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
     groups = cut(groups.where("copies > 1").select("same", "first", "first_doc"))
-    rows = salted_left(sketches.select("row", "doc_id", "n_shingles", "same"), groups, "same", "row")
-    rows = cut(rows.select("row", "doc_id", F.col("n_shingles"), "same", F.coalesce("first", "row").alias("class"), F.coalesce("first_doc", "doc_id").alias("class_doc")))
+    rows = salted_left(sketches.select("row", "doc_id", "n_shingles", "same", *carried), groups, "same", "row")
+    rows = cut(rows.select("row", "doc_id", "n_shingles", "same", *carried, F.coalesce("first", "row").alias("class"), F.coalesce("first_doc", "doc_id").alias("class_doc")))
     later = cut(rows.where("row <> class").select("row"))
     classes = sketches.where("same is not null").select("row", F.col("n_shingles").alias("n"), "bands").join(later, "row", "left_anti")
     found = candidates(classes)
@@ -264,7 +264,7 @@ def link(sketches: DataFrame, threshold: int, words: int) -> DataFrame:
     smallest = named.groupBy("comp").agg(F.min("class_doc").alias("component_doc"))
     labels = cut(comps.join(smallest, "comp").select(F.col("row").alias("class"), "component_doc"))
     drop(sketches, sets)  # rows and labels are stored, too
-    return salted_left(rows, labels, "class", "row").select("row", "doc_id", "n_shingles", F.coalesce("component_doc", "class_doc", "doc_id").alias("component_id"))
+    return salted_left(rows, labels, "class", "row").select("row", "doc_id", "n_shingles", *carried, F.coalesce("component_doc", "class_doc", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
@@ -275,10 +275,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WO
     gives no rows, and further columns are ignored.
     """
     out = link(cut(sketch(docs, words)), threshold, words)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", is_kept().alias("kept"))
+
+
+def is_kept():
+    return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
 
 
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS) -> DataFrame:
-    """The rows of documents, with all their columns, that near_duplicates keeps."""
-    gone = cut(near_duplicates(docs, threshold, words).where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of documents, with all their columns, that near_duplicates keeps.
+
+    A row is known by its doc_id and text: of rows that repeat an id, those with other texts are judged each for itself, and those
+    with the same text stay or go together. Rows with a null id stay.
+    """
+    gone = cut(link(cut(sketch(docs, words).withColumn("__h", F.xxhash64("text"))), threshold, words, "__h").where(~is_kept()).select("doc_id", "__h").distinct())
+    return docs.withColumn("__h", F.xxhash64("text")).join(gone, ["doc_id", "__h"], "left_anti").select(*docs.columns)

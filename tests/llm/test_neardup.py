@@ -76,6 +76,10 @@ def test_one_document_of_each_group_stays(spark):
     kept = neardup.one_of_each(docs, words=5)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, c in brute(rows, 5) if d == c)
+    base = " ".join(f"word{i}" for i in range(100))
+    again = [(1, base, "x", 1), (2, base + " more", "x", 1), (2, "a text of its own under the name of a copy", "x", 1), (None, base, "x", 1), (2, None, "x", 1)]
+    found = neardup.one_of_each(spark.createDataFrame(again, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in found) == sorted((d or 0, t or "") for d, t, *_ in again if t != base + " more")
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
