@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import cut
 
-QUERIES, ROWS = 256, 8192  # in a block
+QUERIES, ROWS = 4096, 8192  # in a block; rows are repeated once for each block of queries
+AT_ONCE = 256  # queries that have score arrays at the same time
 
 
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -77,11 +78,13 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
         found = []
         if len(q) and len(r):
             q, ids = q.sort_values("vec_id"), r["vec_id"].to_numpy()
-            scores = accumulate(matrix(q["v"], width), matrix(r["v"], width))
-            for query, row in zip(q["vec_id"].tolist(), scores):
-                others = np.flatnonzero(ids != query)
-                places = others[best(row[others], ids[others], k)]
-                found += zip([query] * len(places), ids[places].tolist(), row[places].tolist())
+            asked, postings = matrix(q["v"], width), np.asfortranarray(matrix(r["v"], width))
+            for at in range(0, len(asked), AT_ONCE):
+                scores = accumulate(asked[at : at + AT_ONCE], postings)
+                for query, row in zip(q["vec_id"].tolist()[at : at + AT_ONCE], scores):
+                    others = np.flatnonzero(ids != query)
+                    places = others[best(row[others], ids[others], k)]
+                    found += zip([query] * len(places), ids[places].tolist(), row[places].tolist())
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     near = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(meet, "query_id long, vec_id long, score long")
