@@ -103,9 +103,9 @@ class Model:
             bits.append(np.log2(max(2, min(share, len(text)))))
         return cls(langs, symbol, tables, np.array(bits))
 
-    def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases of each text (rows) by language."""
-        symbols, owner = to_symbols(texts, self.symbol)
+    def phrases(self, texts: list[str], coded: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Phrases of each text (rows) by language; ``coded``: to_symbols() of the texts."""
+        symbols, owner = coded or to_symbols(texts, self.symbol)
         out = np.zeros((len(texts), len(self.langs)))
         if not len(symbols):
             return out
@@ -132,9 +132,15 @@ class Model:
             out[:, k] = np.bincount(text_of, count, len(texts))
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The cheapest language of each text (ties: the first by name) and its share of the posterior; `und`, 0 without letters."""
-        cost = self.phrases([t or "" for t in texts]) * self.bits
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """The cheapest language of each text (ties: the first by name) and its share of the posterior; `und`, 0 without letters.
+
+        And the share of its letters that the model knows.
+        """
+        full = [t or "" for t in texts]
+        symbols, owner = to_symbols(full, self.symbol)
+        known = np.bincount(owner[symbols > 2], minlength=len(full)) / np.maximum(1, np.bincount(owner[symbols > 1], minlength=len(full)))
+        cost = self.phrases(full, (symbols, owner)) * self.bits
         langs, scores = [], []
         for t, c in zip(texts, cost):
             if not self.langs or not c.any() or not t or not any(map(str.isalpha, t)):
@@ -144,7 +150,7 @@ class Model:
                 best = int(np.argmin(c))
                 langs.append(self.langs[best])
                 scores.append(float(1 / np.exp2(np.minimum(0, c[best] - c)).sum()))
-        return langs, scores
+        return langs, scores, known.tolist()
 
 
 def to_symbols(texts: list[str], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,26 +180,26 @@ def fit(docs: DataFrame, usable=None) -> Model:
 
 
 def with_language(docs: DataFrame, model: Model, name: str = "language") -> DataFrame:
-    """docs with a struct column (lang, score) from its text."""
+    """docs with a struct column (lang, score, known) from its text."""
     raw = zlib.compress(pickle.dumps(model), 1)
     held = docs.sparkSession.sparkContext.broadcast(raw)  # of bounded size: TOTAL_SYMBOLS
     key = zlib.crc32(raw)
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, known double")
     def predict(texts: pa.Array) -> pa.Array:
         if key not in _models:
             _models.clear()
             _models[key] = pickle.loads(zlib.decompress(held.value))
-        langs, scores, given = [], [], texts.to_pylist()
+        langs, scores, known, given = [], [], [], texts.to_pylist()
         at = 0
         while at < len(given):
             end, size = at, 0
             while end < len(given) and size < 2_000_000:
                 size += len(given[end] or "")
                 end += 1
-            a, b = _models[key].predict(given[at:end])
-            langs, scores, at = langs + a, scores + b, end
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+            a, b, c = _models[key].predict(given[at:end])
+            langs, scores, known, at = langs + a, scores + b, known + c, end
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())], ["lang", "score", "known"])
 
     return docs.withColumn(name, predict("text"))
 
@@ -215,6 +221,10 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of documents, with all their columns, whose text is in a learned language: not `und`, with a score of ``least`` or more."""
+    """The rows of documents, with all their columns, whose text is in a learned language.
+
+    Texts without a letter (`und`) go, and texts with less than a share ``least`` of letters that the model knows: another script.
+    Short texts that several languages fit as well stay. Nothing stays if no row has a lang.
+    """
     model = fit(docs)
-    return with_language(docs, model, "__language").where((F.col("__language.lang") != "und") & (F.col("__language.score") >= least)).select(*docs.columns)
+    return with_language(docs, model, "__language").where((F.col("__language.lang") != "und") & (F.col("__language.known") >= least)).select(*docs.columns)

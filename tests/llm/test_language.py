@@ -49,9 +49,9 @@ def test_identify(spark):
 
 
 def test_rows_kept_and_empty_tables(spark):
-    odd = [(100, None, "en", "", ""), (102, "12 !!", "de", "", "")]
+    odd = [(100, None, "en", "", ""), (102, "12 !!", "de", "", ""), (103, "это другой язык", None, "", ""), (104, "漢字仮名 ok", None, "", ""), (105, "The.", None, "", ""), (106, EN + " 漢字", None, "", "")]
     kept = langid.keep_known(docs(spark, odd))
-    assert kept.count() == 60 and kept.columns == ["doc_id", "text", "lang", "language", "score"]
+    assert {r.doc_id for r in kept.collect()} == {*range(60), 105, 106} and kept.columns == ["doc_id", "text", "lang", "language", "score"]
     assert langid.identify(spark.createDataFrame([], SCHEMA)).count() == 0
     unlabelled = spark.createDataFrame([(1, EN, None, "", "")], SCHEMA)
     assert langid.identify(unlabelled).first().lang_pred == "und"
