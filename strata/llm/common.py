@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
@@ -43,6 +45,22 @@ def drop(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_held: dict = {}
+
+
+def held_by_worker(key, make):
+    """What ``make`` gives, kept in this Python worker until it is asked for another key: workers go from task to task, and hold the tables of one operator at most. None empties it."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # freed pages go back to the system
+                trim(0)
+        if key is not None:
+            _held[key] = make()
+    return _held.get(key)
+
+
 def salted_left(rows: DataFrame, groups: DataFrame, key: str, by: str, replicas: int = REPLICAS) -> DataFrame:
     """rows LEFT JOIN groups USING (key), for a key that may hold a third of all rows.
 

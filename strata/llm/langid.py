@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.llm.common import held_by_worker
+
 SAMPLE_DOCS = 64  # labelled documents for each language at most
 SAMPLE_CHARS = 2_000  # from each of these, at most
 TOTAL_SYMBOLS = 96_000  # of labelled text, shared by the languages: bounds the tables
@@ -24,7 +26,6 @@ SYMBOLS = 64  # 0: padding, 1: between words, 2: any other letter, then the most
 STRETCH = 512  # symbols in a stretch; phrases end with it
 
 _alphabetic: list[np.ndarray] = []
-_models: dict[int, "Model"] = {}
 
 
 def alphabetic() -> np.ndarray:
@@ -187,9 +188,7 @@ def with_language(docs: DataFrame, model: Model, name: str = "language") -> Data
 
     @F.arrow_udf("lang string, score double, known double")
     def predict(texts: pa.Array) -> pa.Array:
-        if key not in _models:
-            _models.clear()
-            _models[key] = pickle.loads(zlib.decompress(held.value))
+        own = held_by_worker(("language", key), lambda: pickle.loads(zlib.decompress(held.value)))
         langs, scores, known, given = [], [], [], texts.to_pylist()
         at = 0
         while at < len(given):
@@ -197,7 +196,7 @@ def with_language(docs: DataFrame, model: Model, name: str = "language") -> Data
             while end < len(given) and size < 2_000_000:
                 size += len(given[end] or "")
                 end += 1
-            a, b, c = _models[key].predict(given[at:end])
+            a, b, c = own.predict(given[at:end])
             langs, scores, known, at = langs + a, scores + b, known + c, end
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())], ["lang", "score", "known"])
 

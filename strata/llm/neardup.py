@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, drop, salted_left
+from strata.llm.common import cut, drop, held_by_worker, salted_left
 from strata.llm.tokens import piece_hashes
 
 BAND, TABLES = 3, 14  # minhashes in a band (two bands make a key), bands in each collection
@@ -85,6 +85,7 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
         from pyspark import TaskContext
 
+        held_by_worker(None, None)
         part, number = TaskContext.get().partitionId() << 33, count()
         for batch in batches:
             sizes, same, bands = [], [], []
@@ -118,6 +119,7 @@ def bucket_leads(classes: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        held_by_worker(None, None)
         grid_a, grid_b = (x.ravel() for x in np.meshgrid(np.arange(TABLES), np.arange(TABLES), indexing="ij"))
         table = (grid_a * TABLES + grid_b + 1).astype(np.uint64)
         for whole in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut
+from strata.llm.common import cut, held_by_worker
 from strata.llm.tokens import text_ids
 
 K1, B = 1.2, 0.75
@@ -145,6 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # as long as the vocabulary
 
     def shard_pieces(key, pdf):
+        held_by_worker(None, None)
         pdf = pdf.sort_values("row", ignore_index=True)
         docs = [np.frombuffer(raw, f"<u{len(raw) // k}") for raw, k in zip(pdf["ids"], pdf["n_tokens"])]
         rows = [(d, a, k, zlib.crc32(docs[d][a : a + k].astype("<u4").tobytes()), len(docs[d]), (int(key[0]) << 32) + s, o) for d, a, k, s, o in fill(docs, shared.value, mean, window)]

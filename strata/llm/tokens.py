@@ -12,6 +12,8 @@ import os
 
 import numpy as np
 
+from strata.llm.common import held_by_worker
+
 KNOWN = 500_000  # pieces that a worker remembers
 CHUNK = 1_000_000  # characters that are cut at a time
 
@@ -26,15 +28,12 @@ _random = np.random.default_rng(7)
 BYTE_HASH = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
-_loaded: dict[str, "TextIds"] = {}
 _powers = np.ones(1, np.uint64)
 
 
 def text_ids(path: str) -> "TextIds":
     """The tokenizer of this worker."""
-    if path not in _loaded:
-        _loaded[path] = TextIds(path)
-    return _loaded[path]
+    return held_by_worker(("tokens", path), lambda: TextIds(path))
 
 
 def powers(n: int) -> np.ndarray:

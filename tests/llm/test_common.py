@@ -30,3 +30,10 @@ def test_dropped_tables_are_gone(spark):
     assert df.count() == 3
     common.drop(df, df)
     assert not os.path.exists(path.removeprefix("file://")) and other.count() == 4
+
+
+def test_a_worker_holds_one_table():
+    made, held_by_worker = [], common.held_by_worker
+    make = lambda x: lambda: made.append(x) or x
+    assert [held_by_worker("a", make(1)), held_by_worker("a", make(2)), held_by_worker("b", make(3)), held_by_worker(None, None), held_by_worker("b", make(4))] == [1, 1, 3, None, 4]
+    assert made == [1, 3, 4]
