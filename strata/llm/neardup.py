@@ -223,7 +223,10 @@ def left_over(found: DataFrame, comps: DataFrame, sets: DataFrame, threshold: in
     apart = cut(apart)
     if apart.isEmpty():
         return apart.select("u", "v")
-    open_rows = cut(apart.select(F.col("u").alias("row")).distinct())
+    # a row meets its batch's first member, and that one the whole bucket's: rows whose batch's first member is apart from the bucket's are open, too
+    leads = apart.select(F.col("u").alias("row")).distinct()
+    behind = found.where("more").join(leads.withColumnRenamed("row", "v"), "v", "left_semi").select(F.col("u").alias("row"))
+    open_rows = cut(leads.unionByName(behind).distinct())
     touched = apart.select(F.col("cu").alias("comp")).unionByName(apart.select(F.col("cv").alias("comp"))).distinct()
     alone = apart.select(F.col("u").alias("row")).unionByName(apart.select(F.col("v").alias("row"))).distinct().withColumn("comp", F.col("row")).join(comps, "row", "left_anti")
     members = cut(comps.join(touched, "comp", "left_semi").select("row", "comp").unionByName(alone.select("row", "comp")))

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strata.llm import neardup
 
@@ -95,6 +96,20 @@ def test_links_that_no_first_member_has(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows, 4)
 
 
+def test_links_between_later_members_of_two_batches(spark):
+    """A chain g, w, u, v in one bucket: w comes after g in a batch, u after v in another, and w and u alone join them."""
+    chain = [" ".join(f"w{i}" for i in range(2 * k, 2 * k + 20)) for k in range(4)]
+    made = neardup.sketch(spark.createDataFrame([(d, chain[d]) for d in range(4)], "doc_id long, text string"), 1).drop("row", "bands")
+    bands = F.array_repeat(F.lit(7).cast("long"), 2 * neardup.TABLES).alias("bands")
+    rows = made.join(spark.createDataFrame([(0, 0), (1, 1), (3, 10), (2, 11)], "doc_id long, row long"), "doc_id").select("doc_id", "row", "text", "n_shingles", "same", bands)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        found = neardup.link(neardup.cut(rows.coalesce(1).sortWithinPartitions("row")), 80, 1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
 def test_tensored_keys_meet_at_the_threshold():
     """The chance that two sets of similarity 0.8 share no key is that of one collection without a common band, twice at most."""
     rnd, missed = np.random.default_rng(5), 0
