@@ -21,7 +21,6 @@ from strata.llm.tokens import text_ids
 K1, B = 1.2, 0.75
 SHARD_TOKENS = 2_500_000
 ROWS_AT_ONCE = 1000
-QUERY_TERMS = 48  # the rarest distinct ids of a seed ask the index
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -88,13 +87,16 @@ class Index:
         self.doc, self.weight = doc[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(len(idf) + 1))
 
+    def keep(self, docs: np.ndarray) -> None:
+        """Only documents that ``docs`` (by document, true or false) holds have scores from now on; others may still ask."""
+        kept = docs[self.doc]
+        self.at = np.r_[0, np.cumsum(kept)][self.at]
+        self.doc, self.weight = self.doc[kept], self.weight[kept]
+
     def scores(self, seed: int) -> np.ndarray:
-        terms = self.terms[seed]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TERMS]]
-        a, n = self.at[terms], self.at[terms + 1] - self.at[terms]
-        at = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
-        return np.bincount(self.doc[at], self.weight[at], self.n)
+        """Of all documents, over every distinct id of the seed."""
+        ranges = list(zip(self.at[self.terms[seed]].tolist(), self.at[self.terms[seed] + 1].tolist()))
+        return np.bincount(np.concatenate([self.doc[a:b] for a, b in ranges]), np.concatenate([self.weight[a:b] for a, b in ranges]), self.n)
 
 
 def fill(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int):
@@ -102,6 +104,7 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int):
     index = Index(docs, idf, mean)
     unused = np.ones(len(docs), bool)
     seed, start, sequence, offset, following = -1, 0, 0, 0, 0
+    held = len(docs)  # documents whose postings the index holds
     while True:
         if seed < 0:  # nothing was cut: the next document opens a window
             while following < len(docs) and not unused[following]:
@@ -114,8 +117,12 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int):
         yield seed, start, n, sequence, offset
         start, offset = start + n, offset + n
         if offset < window:
+            left = int(unused.sum())
+            if 4 * left <= 3 * held:  # used documents are no neighbours
+                index.keep(unused)
+                held = left
             scores = np.where(unused, index.scores(seed), -1.0)
-            near = iter(np.argsort(-scores, kind="stable")[: int(unused.sum())].tolist())
+            near = iter(np.argsort(-scores, kind="stable")[:left].tolist())
             seed = -1
             for doc in near:
                 unused[doc] = False

@@ -67,6 +67,21 @@ def test_neighbours_share_words():
             assert abs(index.scores(seed)[d] - want) < 1e-9
 
 
+def test_every_id_of_a_long_seed_counts():
+    """A seed of 60 rare ids that no other document holds, and ten common ones: its neighbour shares only common ones."""
+    docs = [np.arange(70), np.arange(100, 170), np.r_[np.arange(60, 70), np.arange(200, 260)], *(np.r_[60 + i, np.arange(300 + 70 * i, 369 + 70 * i)] for i in range(10))]
+    df = np.bincount(np.concatenate(docs), minlength=1100)
+    idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
+    index = packing.Index(docs, idf, 70.0)
+    for seed in range(len(docs)):
+        for d, words in enumerate(docs):
+            want = sum(idf[t] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(words) / 70)) for t in np.intersect1d(docs[seed], words))
+            assert abs(index.scores(seed)[d] - want) < 1e-9
+    assert [p[0] for p in packing.fill(docs, idf, 70.0, 140)][:2] == [0, 2]
+    index.keep(np.arange(len(docs)) == 2)
+    assert np.flatnonzero(index.scores(0)).tolist() == [2]
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), tokenizer()).count() == 0
 
