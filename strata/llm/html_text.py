@@ -2,7 +2,8 @@
 
 Markup is stripped, and each block of a page becomes a line. Lines inside of menus, headers, footers, sidebars, notices, adverts, forms
 and reader comments, and lines that are mostly links, count as empty. The lengths of lines are summed over a sliding window: the text
-starts where this sum surges, and ends where it dives to nothing. Where a page names its article, other lines count as empty, too.
+starts where this sum surges, and ends where it dives to nothing. Lines of an article that the page names have windows of their own, of
+which any is a surge; the other lines' windows decide without them.
 """
 
 from __future__ import annotations
@@ -95,25 +96,23 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
 def main_text(page: str | None) -> str:
     """The main text: blocks joined by a line feed. Null, empty and textless pages give an empty text."""
     lines = lines_of(page or "")
-    named = any(where == 1 for _, _, where in lines)
-    weights = []
-    for line, links, where in lines:
-        empty = where < 0 or named and where != 1 or not named and (2 * links > len(line) or RIGHTS.search(line))
-        weights.append(0 if empty else len(line))
-    # in a page that names its article, any line of it is a surge
-    surge = 1 if named else SURGE
-    sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    kept, region, best = [], [], []
-    for i, total in enumerate([*sums, 0]):
-        if total:
-            region.append(i)
-        elif region:  # the dive; windows look ahead, so that a region may start a little before its first line with text
-            if max(sums[j] for j in region) >= surge:
-                kept += region
-            if sum(weights[j] for j in region) > sum(weights[j] for j in best):
-                best = region
-            region = []
-    return "\n".join(lines[i][0] for i in (kept or best) if weights[i])
+    kept, best, weights = [], [], [0] * len(lines)
+    # lines of a named article, of which any is a surge, and the others have windows of their own
+    for place, surge in ((1, 1), (0, SURGE)):
+        own = [len(line) if where == place and (place or not (2 * links > len(line) or RIGHTS.search(line))) else 0 for line, links, where in lines]
+        weights = [w or o for w, o in zip(weights, own)]
+        sums = [sum(own[i : i + WINDOW]) for i in range(len(own))]
+        region = []
+        for i, total in enumerate([*sums, 0]):
+            if total:
+                region.append(i)
+            elif region:  # the dive; windows look ahead, so that a region may start a little before its first line with text
+                if max(sums[j] for j in region) >= surge:
+                    kept += [j for j in region if own[j]]
+                if sum(own[j] for j in region) > sum(weights[j] for j in best):
+                    best = region
+                region = []
+    return "\n".join(lines[i][0] for i in sorted(kept or best) if weights[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:

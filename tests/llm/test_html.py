@@ -29,6 +29,11 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+def test_long_text_beside_a_named_article():
+    assert main_text(f"<article><p>teaser</p></article><div><p>{LONG} 1</p><p>{LONG} 2</p></div><p>x</p>") == f"teaser\n{LONG} 1\n{LONG} 2\nx"
+    assert main_text(f"<p>short</p><article><p>{LONG}</p></article><p>12 likes</p>") == LONG
+
+
 def test_long_and_broken_pages():
     for page in ("<" * 200_000, "<a " * 100_000, "<div>" * 20_000 + "x", "&amp;" * 100_000, "<!--" * 50_000, "<script>" * 20_000, "<a \"" * 50_000):
         main_text(page)
