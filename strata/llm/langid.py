@@ -22,7 +22,8 @@ from strata.llm.common import held_by_worker
 SAMPLE_DOCS = 64  # labelled documents for each language at most
 SAMPLE_CHARS = 2_000  # from each of these, at most
 TOTAL_SYMBOLS = 96_000  # of labelled text, shared by the languages: bounds the tables
-SYMBOLS = 64  # 0: padding, 1: between words, 2: any other letter, then the most frequent letters
+SYMBOLS = 64  # 0: padding, 1: between words, 2: a letter of no labelled text, then the most frequent letters, and an escape for the rest if need be
+DIGITS = SYMBOLS - 4  # a rarer letter is the last symbol and three digits, which are symbols from 3 on
 STRETCH = 512  # symbols in a stretch; phrases end with it
 
 _alphabetic: list[np.ndarray] = []
@@ -70,7 +71,7 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # of each letter, by code point
+    symbol: np.ndarray  # of each letter, by code point; from SYMBOLS on: numbers of rarer letters
     tables: list[np.ndarray]  # at state * SYMBOLS + symbol: four times the next state * SYMBOLS, plus the phrases that end
     bits: np.ndarray  # for a phrase, by language
 
@@ -84,9 +85,10 @@ class Model:
             for c, k in zip(found.tolist(), n.tolist()):
                 if chr(c).isalpha():
                     counts[c] = counts.get(c, 0) + k
-        symbol = np.where(alphabetic(), 2, 1).astype(np.uint8)
-        for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[: SYMBOLS - 3]):
-            symbol[c] = 3 + i
+        frequent = SYMBOLS - 3 if len(counts) <= SYMBOLS - 3 else DIGITS
+        symbol = np.where(alphabetic(), 2, 1).astype(np.uint8 if frequent > DIGITS else np.int32)
+        for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))):
+            symbol[c] = 3 + i if i < frequent else SYMBOLS + i - frequent
         tables, bits = [], []
         for lang in langs:
             text, _ = to_symbols(samples[lang], symbol)
@@ -139,9 +141,9 @@ class Model:
         And the share of its letters that the model knows.
         """
         full = [t or "" for t in texts]
-        symbols, owner = to_symbols(full, self.symbol)
+        symbols, owner = to_letters(full, self.symbol)
         known = np.bincount(owner[symbols > 2], minlength=len(full)) / np.maximum(1, np.bincount(owner[symbols > 1], minlength=len(full)))
-        cost = self.phrases(full, (symbols, owner)) * self.bits
+        cost = self.phrases(full, spelled(symbols, owner)) * self.bits
         langs, scores = [], []
         for t, c in zip(texts, cost):
             if not self.langs or not c.any() or not t or not any(map(str.isalpha, t)):
@@ -156,6 +158,24 @@ class Model:
 
 def to_symbols(texts: list[str], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of lower-cased texts in a row, one between words; and the text that each belongs to."""
+    return spelled(*to_letters(texts, symbol))
+
+
+def spelled(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of rarer letters as an escape and their digits, without loss."""
+    rare = symbols >= SYMBOLS
+    if not rare.any():
+        return symbols.astype(np.uint8, copy=False), owner
+    n = np.where(rare, 4, 1)
+    out, first, number = np.repeat(symbols, n), (np.cumsum(n) - n)[rare], symbols[rare] - SYMBOLS
+    out[first] = SYMBOLS - 1
+    for i in range(3):
+        out[first + 1 + i] = 3 + number // DIGITS ** (2 - i) % DIGITS
+    return out.astype(np.uint8), np.repeat(owner, n)
+
+
+def to_letters(texts: list[str], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As to_symbols(), with rarer letters by their numbers."""
     lowered = [t.lower() for t in texts]
     codes = points("\n".join(lowered))
     out = symbol[codes]

@@ -57,6 +57,22 @@ def test_rows_kept_and_empty_tables(spark):
     assert langid.identify(unlabelled).first().lang_pred == "und"
 
 
+def test_languages_of_many_letters(spark):
+    """Two languages of 400 letters each beside English: none of their letters is lost, and their texts stay."""
+    rnd = np.random.default_rng(4)
+    words = {lang: ["".join(chr(c) for c in rnd.integers(first, first + 400, 3)) for _ in range(150)] for lang, first in (("zh", 0x4E00), ("ko", 0xAC00))}
+    rows = [(1000 + 100 * k + i, "".join(rnd.choice(words[lang], 40)), lang, "x", "y") for k, lang in enumerate(words) for i in range(40)]
+    given = docs(spark, rows)
+    assert {r.doc_id for r in langid.keep_known(given).collect()} == {*range(60), *(r[0] for r in rows)}
+    wanted = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred == wanted[r.doc_id] for r in langid.identify(given).collect() if r.doc_id in wanted)
+    model = langid.Model.fit({lang: [r[1] for r in rows if r[2] == lang] for lang in words})
+    letters = sorted(set("".join(r[1] for r in rows)))
+    assert len({tuple(langid.to_symbols([c], model.symbol)[0].tolist()) for c in letters}) == len(letters) > 400
+    found = model.phrases([rows[0][1] + "x"])[0].tolist()
+    assert found == [phrases(rows[0][1] + "x", "\n".join(r[1] for r in rows if r[2] == lang), model.symbol) for lang in ("ko", "zh")]
+
+
 def test_held_out_accuracy(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.identify(table).where("held_out").join(table.select("doc_id", "lang"), "doc_id").collect()
