@@ -19,9 +19,11 @@ _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local one if driver and executors are one process, and an error otherwise."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         base = "file://" + tempfile.mkdtemp(prefix="strata-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/strata-{uuid.uuid4().hex}"
@@ -69,9 +71,30 @@ def salted_left(rows: DataFrame, groups: DataFrame, key: str, by: str, replicas:
     """
     if groups.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(groups), key, "left")
-    left = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(replicas)).cast("int"))
-    right = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
-    return left.join(right.hint("merge"), [key, "__salt"], "left").drop("__salt")
+    salt = unused("salt", rows, groups)
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(replicas)).cast("int"))
+    right = groups.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    return left.join(right.hint("merge"), [key, salt], "left").drop(salt)
+
+
+def split_join(rows: DataFrame, groups: DataFrame, key: str, by: str, most: int = 10_000) -> DataFrame:
+    """rows JOIN groups USING (key), for large ``groups``: of a key with more than ``most`` rows, groups are repeated and rows dealt over the copies by a hash of ``by``."""
+    salt, copies = unused("salt", rows, groups), unused("copies", rows, groups)
+    hot = cut(rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias(copies)).where(F.col(copies) > 1))
+    if hot.isEmpty():
+        return rows.join(groups, key)
+    n = F.coalesce(copies, F.lit(1))
+    left = salted_left(rows, hot, key, by).withColumn(salt, F.pmod(F.xxhash64(by), n).cast("int"))
+    right = salted_left(groups, hot, key, key).withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1)))
+    return left.drop(copies).join(right.drop(copies), [key, salt]).drop(salt)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def write_blobs(df: DataFrame, column: str, trailer: str) -> str:

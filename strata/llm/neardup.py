@@ -4,8 +4,13 @@ Two small collections of short bands (a few minhashes each) are computed for eac
 and one of the second is a table key: TABLES ** 2 tables from TABLES * 2 bands. Texts with equal sets are one class beforehand.
 
 Candidates are not all pairs of a bucket: within each batch, and then over all batches, members meet the bucket's first member only.
-Pairs are confirmed on whole sets, and confirmed ones joined to components. A member that isn't in its bucket's component after that
-may still be like another member: an exact prefix filter (rarest shingles first) over the components concerned finds every such pair.
+Pairs are confirmed on the words of whole texts, and confirmed ones joined to components. A member that isn't in its bucket's component
+after that may still be like another member: an exact prefix filter (rarest shingles first) over the components concerned finds every
+such pair.
+
+Sketches, sizes of sets and the prefix filter take 64-bit hashes of shingles. Words of up to seven bytes have hashes of their own each,
+longer ones xxh3 hashes, so that equal hashes of different shingles are a matter of chance (n * n / 2**65 in a text of n); what is
+confirmed doesn't depend on them.
 """
 
 from __future__ import annotations
@@ -16,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, drop, held_by_worker, salted_left
-from strata.llm.tokens import piece_hashes
+from strata.llm.common import cut, drop, held_by_worker, salted_left, split_join, unused
+from strata.llm.tokens import eight_bytes
 
 BAND, TABLES = 3, 14  # minhashes in a band (two bands make a key), bands in each collection
 THRESHOLD = 80  # per cent
@@ -39,29 +44,58 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(texts: list[bytes | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all shingles of UTF-8 texts in a row (repeats included), and where each text's begin, with the end."""
+def words_of(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 texts in a row, A-Z lower-cased, with some bytes more; starts and lengths of their words; and where each text's words begin, with the end."""
     raw = [(t or b"").lower() for t in texts]  # bytes: A-Z only
-    data = np.frombuffer(b"\n".join(raw), np.uint8)
-    space = IS_SPACE[data]
+    joined = b"\n".join(raw) + b"\n" * 8
+    space = IS_SPACE[np.frombuffer(joined, np.uint8)]
     start = ~space
     start[1:] &= space[:-1]
     cut_at = np.flatnonzero(start | space)
     of_word = start[cut_at]
-    starts, lengths = cut_at[of_word], np.diff(cut_at, append=len(data))[of_word]
-    h = mixed(piece_hashes(data, starts, lengths))
-    text_ends = np.cumsum([len(b) + 1 for b in raw])
-    first = np.r_[0, np.searchsorted(starts, text_ends)]
+    starts, lengths = cut_at[of_word], np.diff(cut_at, append=len(joined))[of_word]
+    return joined, starts, lengths, np.r_[0, np.searchsorted(starts, np.cumsum([len(b) + 1 for b in raw]))]
+
+
+def packed(joined: bytes, starts: np.ndarray, lengths: np.ndarray, of_long) -> np.ndarray:
+    """A number for each word: bytes and length of up to seven bytes, and of longer ones what ``of_long`` makes of their bytes."""
+    out = eight_bytes(joined, starts, np.minimum(lengths, 7)) | np.minimum(lengths, 8).astype(np.uint64) << np.uint64(56)
+    at = np.flatnonzero(lengths > 7)
+    out[at] = of_long([joined[a : a + n] for a, n in zip(starts[at].tolist(), lengths[at].tolist())])
+    return out
+
+
+def places(first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts whose words begin at ``first``: the first word of each shingle, the words in it, and where each text's shingles begin, with the end."""
     count = np.diff(first)
     n = np.where(count >= words, count - words + 1, count > 0)
     edges = np.r_[0, np.cumsum(n)]
-    at = np.arange(edges[-1]) + np.repeat(first[:-1] - edges[:-1], n)
-    size = np.repeat(np.minimum(count, words), n)
+    return np.arange(edges[-1]) + np.repeat(first[:-1] - edges[:-1], n), np.repeat(np.minimum(count, words), n), edges
+
+
+def shingles(texts: list[bytes | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of UTF-8 texts in a row (repeats included), and where each text's begin, with the end."""
+    joined, starts, lengths, first = words_of(texts)
+    h = mixed(packed(joined, starts, lengths, lambda long: [xxhash.xxh3_64_intdigest(w) for w in long]))
+    at, size, edges = places(first, words)
     padded = np.r_[h, np.zeros(words, np.uint64)]
-    total = size.astype(np.uint64) * PLACE[-1]
+    total = size.astype(np.uint64)
+    for i in range(words):  # one after the other, so that order counts
+        total = mixed(total * PLACE[i] + np.where(size > i, padded[at + i], np.uint64(0)))
+    return total, edges
+
+
+def exact_shingles(texts: list[bytes | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """As shingles(), with numbers that are equal for equal words only; they hold for these texts together."""
+    joined, starts, lengths, first = words_of(texts)
+    known: dict[bytes, int] = {}
+    number = np.unique(packed(joined, starts, lengths, lambda long: [(8 << 56) + known.setdefault(w, len(known)) for w in long]), return_inverse=True)[1].astype(np.int64) + 1
+    at, size, edges = places(first, words)
+    padded = np.r_[number, np.zeros(words, np.int64)]
+    every, total = len(number) + 1, np.zeros(len(at), np.int64)
     for i in range(words):
-        total += np.where(size > i, padded[at + i] * PLACE[i], np.uint64(0))
-    return mixed(total), edges
+        total = np.unique(total * every + np.where(size > i, padded[at + i], 0), return_inverse=True)[1]
+    return total, edges
 
 
 def batches_of(column: pa.Array):
@@ -113,7 +147,7 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def bucket_leads(classes: DataFrame) -> DataFrame:
-    """(row, bands) -> (key, u, v, size): for each bucket of a batch its first member u, with null v and the bucket's size there; and the batch's pairs of a member u and a first member v.
+    """(row, n, bands) -> (key, u, n_u, v, n_v, size): for each bucket of a batch its first member u, with null v and the bucket's size there; and the batch's pairs of a member u and a first member v.
 
     A pair of a bucket of two comes under the bucket's key, with size 0; pairs of larger ones, once for the batch, under keys of no meaning, with size 1.
     """
@@ -126,7 +160,7 @@ def bucket_leads(classes: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 order = np.argsort(batch.column("row").to_numpy(), kind="stable")
-                row = batch.column("row").to_numpy()[order]
+                row, n_of = batch.column("row").to_numpy()[order], batch.column("n").to_numpy()[order]
                 bands = batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(len(row), 2 * TABLES)[order]
                 keys = mixed(mixed(bands[:, :TABLES][:, grid_a] + table) + bands[:, TABLES:][:, grid_b]).ravel()
                 who = np.repeat(np.arange(len(row)), TABLES * TABLES)
@@ -139,13 +173,13 @@ def bucket_leads(classes: DataFrame) -> DataFrame:
                 later[first] = False
                 two = later & (n == 2)
                 many = np.unique(who[later & (n > 2)] * len(row) + lead[later & (n > 2)])
-                u = np.r_[row[who[two]], row[many // len(row)], row[who[first]]]
-                v = pa.concat_arrays([pa.array(np.r_[row[lead[two]], row[many % len(row)]]), pa.nulls(len(first), pa.int64())])
+                u, v = np.r_[who[two], many // len(row), who[first]], np.r_[lead[two], many % len(row)]
+                of_v = [pa.concat_arrays([pa.array(x[v]), pa.nulls(len(first), pa.int64())]) for x in (row, n_of)]
                 key = np.r_[keys[two], mixed(many.astype(np.uint64) + row[0].astype(np.uint64)), keys[first]].view(np.int64)
                 sizes = np.r_[np.zeros(two.sum(), np.int64), np.ones(len(many), np.int64), size].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(u), v, pa.array(sizes)], ["key", "u", "v", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row[u]), pa.array(n_of[u]), *of_v, pa.array(sizes)], ["key", "u", "n_u", "v", "n_v", "size"])
 
-    return classes.select("row", "bands").mapInArrow(run, "key long, u long, v long, size int")
+    return classes.select("row", "n", "bands").mapInArrow(run, "key long, u long, n_u long, v long, n_v long, size int")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -154,28 +188,27 @@ def candidates(classes: DataFrame) -> DataFrame:
     In the shuffle, a bucket has two rows per batch at most.
     """
     key, alone = Window.partitionBy("key"), F.col("v").isNull()
-    lead, total = F.min(F.when(alone, F.col("u"))).over(key), F.sum(F.when(alone, F.col("size"))).over(key)
+    lead, total = F.min(F.when(alone, F.struct("u", "n_u"))).over(key), F.sum(F.when(alone, F.col("size"))).over(key)
     more = F.when(alone | (F.col("size") == 0), total > 2).otherwise(True)
-    pairs = bucket_leads(classes).select("u", F.coalesce("v", lead).alias("v"), more.alias("more")).where("u <> v").groupBy("u", "v").agg(F.max("more").alias("more"))
-    pairs = cut(pairs)
-    size = lambda c: classes.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"))
-    return cut(pairs.join(size("u"), "u").join(size("v"), "v").select("u", "v", "n_u", "n_v", "more"))
+    pairs = bucket_leads(classes).withColumns({"lead": lead, "more": more})
+    pairs = pairs.select("u", "n_u", F.coalesce("v", "lead.u").alias("v"), F.coalesce("n_v", "lead.n_u").alias("n_v"), "more").where("u <> v")
+    return cut(pairs.groupBy("u", "v").agg(F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v"), F.max("more").alias("more")))
 
 
-def sets_of(sketches: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """The whole sets (row, n, sh: sorted hashes) of some rows."""
+def sets_of(texts: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The whole sets of hashes (row, n, sh: sorted) of some rows of texts (row, text)."""
 
     def run(batches):
         for batch in batches:
             own = []
-            for _, _, texts in batches_of(batch.column("text")):
-                every, edges = shingles(texts, words)
+            for _, _, some in batches_of(batch.column("text")):
+                every, edges = shingles(some, words)
                 own += [np.unique(every[a:b]).view(np.int64) for a, b in zip(edges[:-1], edges[1:])]
             ends = np.cumsum([0, *map(len, own)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))
             yield pa.RecordBatch.from_arrays([batch.column("row"), lists], ["row", "sh"])
 
-    return sketches.select("row", "text").join(rows, "row", "left_semi").mapInArrow(run, "row long, sh array<long>")
+    return texts.join(rows, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, sh array<long>")
 
 
 def fits(threshold: int):
@@ -183,12 +216,34 @@ def fits(threshold: int):
     return (100 * F.least("n_u", "n_v")) >= threshold * F.greatest("n_u", "n_v")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (u, v) that are alike on their whole sets."""
-    left = pairs.join(sets.select(F.col("row").alias("v"), F.col("sh").alias("sv")), "v")
-    both = left.join(sets.select(F.col("row").alias("u"), F.col("sh").alias("su")), "u")
-    both = both.withColumn("common", F.size(F.array_intersect("su", "sv")))
-    return cut(both.where(100 * F.col("common") >= threshold * (F.size("su") + F.size("sv") - F.col("common"))).select("u", "v"))
+def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
+    """The pairs (u, v) whose texts (row, text) are alike on their whole sets, word by word. Texts that are in many pairs are repeated, so that no task has all of them."""
+    at = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
+    both = split_join(split_join(pairs.select("u", "v"), at("v"), "v", "u"), at("u"), "u", "v")
+
+    def alike(batches):
+        for batch in batches:
+            u, v = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_u", "text_v"))
+            keep, at = np.zeros(len(u), bool), 0
+            while at < len(u):
+                end, size, place, texts = at, 0, {}, []
+                while end < len(u) and size < CHUNK:
+                    for t in (u[end], v[end]):
+                        if place.setdefault(t, len(texts)) == len(texts):
+                            texts.append(t)
+                            size += len(t)
+                    end += 1
+                every, edges = exact_shingles(texts, words)
+                sets = [np.unique(every[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+                for i in range(at, end):
+                    a, b = sets[place[u[i]]], sets[place[v[i]]]
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    keep[i] = 100 * common >= threshold * (len(a) + len(b) - common)
+                at = end
+            found = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(found)) for c in ("u", "v")], ["u", "v"])
+
+    return cut(both.select("u", "v", "text_u", "text_v").mapInArrow(alike, "u long, v long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,7 +266,7 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(out)
 
 
-def left_over(found: DataFrame, comps: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def left_over(found: DataFrame, comps: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
     """Pairs (u, v) over the components that share a bucket without a link: every pair of these that is alike.
 
     Shingles are ordered by how few of the rows hold them. Of two alike sets, the smaller has one of its first n - ceil(2 t n / (1 + t)) + 1
@@ -230,7 +285,8 @@ def left_over(found: DataFrame, comps: DataFrame, sets: DataFrame, threshold: in
     touched = apart.select(F.col("cu").alias("comp")).unionByName(apart.select(F.col("cv").alias("comp"))).distinct()
     alone = apart.select(F.col("u").alias("row")).unionByName(apart.select(F.col("v").alias("row"))).distinct().withColumn("comp", F.col("row")).join(comps, "row", "left_anti")
     members = cut(comps.join(touched, "comp", "left_semi").select("row", "comp").unionByName(alone.select("row", "comp")))
-    each = sets.join(members, "row", "left_semi").select("row", F.size("sh").alias("n"), F.explode("sh").alias("sh"))
+    sets = cut(sets_of(texts, members, words))
+    each = sets.select("row", F.size("sh").alias("n"), F.explode("sh").alias("sh"))
     counts = each.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")  # a shingle of one row finds nobody, and comes first
     known = each.join(counts, "sh", "left").withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("df", F.lit(1)), "sh")) - 1)
     t = threshold / 100
@@ -241,10 +297,14 @@ def left_over(found: DataFrame, comps: DataFrame, sets: DataFrame, threshold: in
     named = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("row", "n", "left", "comp", "open")]
     larger = (F.col("n_u") > F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("row_u") > F.col("row_v")))
     enough = (100 + threshold) * F.least("left_u", "left_v") >= threshold * (F.col("n_u") + F.col("n_v"))
-    met = prefix.select("sh", *named("u")).join(prefix.where("short").select("sh", *named("v")), "sh")
-    pairs = met.where(larger & enough & (F.col("comp_u") != F.col("comp_v")) & (F.col("open_u") | F.col("open_v")) & fits(threshold))
+    # one of a pair is open: open rows look in all short prefixes, and the others in those of open rows
+    asked, held = prefix.select("sh", *named("u")), prefix.where("short").select("sh", *named("v"))
+    met = split_join(asked.where("open_u"), held, "sh", "row_u", 1000).unionByName(split_join(asked.where("not open_u"), held.where("open_v"), "sh", "row_u", 1000))
+    pairs = met.where(larger & enough & (F.col("comp_u") != F.col("comp_v")) & fits(threshold))
     pairs = cut(pairs.select(F.col("row_u").alias("u"), F.col("row_v").alias("v")).distinct())
-    return confirmed(pairs, sets, threshold)
+    alike = confirmed(pairs, texts, threshold, words)
+    drop(sets, prefix, pairs)
+    return alike
 
 
 def link(sketches: DataFrame, threshold: int, words: int, *carried: str) -> DataFrame:
@@ -258,17 +318,17 @@ def link(sketches: DataFrame, threshold: int, words: int, *carried: str) -> Data
     found = candidates(classes)
     asked = found.where(F.col("more") | fits(threshold))
     rows_asked = cut(asked.select(F.col("u").alias("row")).unionByName(asked.select(F.col("v").alias("row"))).distinct())
-    sets = cut(sets_of(sketches, rows_asked, words))
-    edges = confirmed(found.where(fits(threshold)).select("u", "v"), sets, threshold)
+    texts = cut(sketches.select("row", "text").join(rows_asked, "row", "left_semi"))
+    edges = confirmed(found.where(fits(threshold)), texts, threshold, words)
     comps = components(edges)
-    more = left_over(found, comps, sets, threshold)
+    more = left_over(found, comps, texts, threshold, words)
     if not more.isEmpty():
         comps = components(edges.unionByName(more))
     # the smallest doc_id of a component, over its classes
     named = rows.where("row = class").select(F.col("row"), "class_doc").join(comps, "row")
     smallest = named.groupBy("comp").agg(F.min("class_doc").alias("component_doc"))
     labels = cut(comps.join(smallest, "comp").select(F.col("row").alias("class"), "component_doc"))
-    drop(sketches, sets)  # rows and labels are stored, too
+    drop(sketches, texts, found)  # rows and labels are stored, too
     return salted_left(rows, labels, "class", "row").select("row", "doc_id", "n_shingles", *carried, F.coalesce("component_doc", "class_doc", "doc_id").alias("component_id"))
 
 
@@ -276,8 +336,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, words: int = WO
     """documents -> one row per row: doc_id, n_shingles, component_id, kept.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat an id are texts of their own under one
-    name. Rows with a null id take part in links; they are kept, and their component is null unless it holds an id. An empty table
-    gives no rows, and further columns are ignored.
+    name. Rows with a null id take part in links; they are kept, and their component is null unless it holds an id. Texts of any length
+    are read whole. An empty table gives no rows, and further columns are ignored.
     """
     out = link(cut(sketch(docs, words)), threshold, words)
     return out.select("doc_id", "n_shingles", "component_id", is_kept().alias("kept"))
@@ -293,5 +353,6 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS)
     A row is known by its doc_id and text: of rows that repeat an id, those with other texts are judged each for itself, and those
     with the same text stay or go together. Rows with a null id stay.
     """
-    gone = cut(link(cut(sketch(docs, words).withColumn("__h", F.xxhash64("text"))), threshold, words, "__h").where(~is_kept()).select("doc_id", "__h").distinct())
-    return docs.withColumn("__h", F.xxhash64("text")).join(gone, ["doc_id", "__h"], "left_anti").select(*docs.columns)
+    h = unused("h", docs)
+    gone = cut(link(cut(sketch(docs, words).withColumn("h", F.xxhash64("text"))), threshold, words, "h").where(~is_kept()).select("doc_id", F.col("h").alias(h)).distinct())
+    return docs.withColumn(h, F.xxhash64("text")).join(gone, ["doc_id", h], "left_anti").select(*docs.columns)

@@ -1,9 +1,10 @@
 """Token ids of whole texts with a public tokenizer file, through the tokenizers library, one distinct piece at a time.
 
 The word-level BPE file drops white space, lower-cases, and splits letters, digits and marks, so a text's ids are those of its pieces
-in a row. Pieces are cut and hashed (64 bits) for some megabytes of text at a time in numpy. Each worker keeps the ids of the pieces
-that it has met, a bounded table, and asks the library only about new ones. Texts with characters beyond Latin-1, or with control
-characters, go through the library's whole chain. The strings of special tokens are ordinary text.
+in a row. Pieces are cut for some megabytes of text at a time in numpy. Each worker keeps the ids of the pieces that it has met, a bounded
+table, and asks the library only about new ones. A piece is known by its bytes: up to eight of them are a number in an open-addressing
+table, longer ones are keys of a dict; no hash stands for a piece. Texts with characters beyond Latin-1, or with control characters, go
+through the library's whole chain. The strings of special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -24,11 +25,8 @@ KIND[[c for c in range(256) if chr(c).isalpha()]] = LETTER
 KIND[[*b"0123456789", 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = NUMBER
 LOWER = bytes(ord(chr(c).lower()) if ord(chr(c).lower()) < 256 else c for c in range(256))
 CONTROL = bytes([*range(9), *range(14, 32), *range(127, 160)])
-_random = np.random.default_rng(7)
-BYTE_HASH = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-STEP = np.uint64(0x9E3779B97F4A7C15)
-
-_powers = np.ones(1, np.uint64)
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+SPREAD, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 21
 
 
 def text_ids(path: str) -> "TextIds":
@@ -36,21 +34,46 @@ def text_ids(path: str) -> "TextIds":
     return held_by_worker(("tokens", path), lambda: TextIds(path))
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 256) * 2, STEP)], dtype=np.uint64)
-    return _powers
-
-
-def piece_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece data[start : start + length]; all lengths are over 0."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    ends = np.cumsum(lengths)
-    firsts = ends - lengths
-    within = np.arange(ends[-1]) - np.repeat(firsts, lengths)
-    return np.add.reduceat(BYTE_HASH[data[within + np.repeat(starts, lengths)]] * powers(int(lengths.max()) + 1)[within], firsts)
+def eight_bytes(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each piece data[start : start + length] as a little-endian number, zeros behind short ones; ``data`` has seven bytes more than its pieces need."""
+    loads = np.ndarray(max(0, len(data) - 7), "<u8", data, 0, (1,))
+    return loads[starts] & FIRST_BYTES[np.minimum(lengths, 8)]
+
+
+class Numbers:
+    """Numbers of pieces without zero bytes, from 0 on in the order of add()."""
+
+    def __init__(self):
+        self.keys, self.values = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+        self.long: dict[bytes, int] = {}
+
+    def find(self, data: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each piece, -1 where it has none; and its first eight bytes."""
+        keys = eight_bytes(data, starts, lengths)
+        slots = (keys * SPREAD >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        held = self.keys[slots]
+        numbers = np.where(held == keys, self.values[slots], -1)
+        walk = np.flatnonzero((held != keys) & (held != 0))
+        while len(walk):  # past pieces of the same slot; an empty one ends the search
+            slots[walk] = slots[walk] + 1 & (1 << SLOT_BITS) - 1
+            held = self.keys[slots[walk]]
+            same = held == keys[walk]
+            numbers[walk[same]] = self.values[slots[walk[same]]]
+            walk = walk[~same & (held != 0)]
+        of_long = np.flatnonzero(lengths > 8)
+        get = self.long.get
+        numbers[of_long] = [get(data[a : a + n], -1) for a, n in zip(starts[of_long].tolist(), lengths[of_long].tolist())]
+        return numbers, keys
+
+    def add(self, piece: bytes, number: int) -> None:
+        if len(piece) > 8:
+            self.long[piece] = number
+            return
+        key = int.from_bytes(piece, "little")
+        slot = (key * int(SPREAD) & (1 << 64) - 1) >> 64 - SLOT_BITS
+        while self.keys[slot]:
+            slot = slot + 1 & (1 << SLOT_BITS) - 1
+        self.keys[slot], self.values[slot] = key, number
 
 
 class TextIds:
@@ -75,7 +98,7 @@ class TextIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = Numbers()
         self.flat, self.at, self.n = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
@@ -146,25 +169,23 @@ class TextIds:
         return data, edges[of_piece], np.diff(edges, append=len(data))[of_piece]
 
     def _latin(self, raw: list[bytes]) -> list[np.ndarray]:
-        joined = b"\n".join(raw)
-        data, starts, lengths = self._cut(joined)
+        joined = b"\n".join(raw) + b"\n" * 8
+        _, starts, lengths = self._cut(joined)
         if not len(starts):
             return [np.zeros(0, self.dtype)] * len(raw)
-        hashes, first, codes = np.unique(piece_hashes(data, starts, lengths), return_index=True, return_inverse=True)
-        if len(self.known) > KNOWN:
+        if len(self.n) > KNOWN:
             self._forget()
-        get = self.known.get
-        number = np.array([get(h, -1) for h in hashes.tolist()], np.int64)
-        new = np.flatnonzero(number < 0)
+        pieces, _ = self.known.find(joined, starts, lengths)
+        new = np.flatnonzero(pieces < 0)
         if len(new):
-            text = joined.decode("latin-1")
-            ids, counts = self._learn([text[a : a + n] for a, n in zip(starts[first[new]].tolist(), lengths[first[new]].tolist())])
-            number[new] = np.arange(len(self.n), len(self.n) + len(new))
-            self.known.update(zip(hashes[new].tolist(), number[new].tolist()))
+            words = list(dict.fromkeys(joined[a : a + n] for a, n in zip(starts[new].tolist(), lengths[new].tolist())))
+            ids, counts = self._learn([w.decode("latin-1") for w in words])
+            for number, word in enumerate(words, len(self.n)):
+                self.known.add(word, number)
             self.at = np.r_[self.at, len(self.flat) + np.cumsum(counts) - counts]
             self.n = np.r_[self.n, counts]
             self.flat = np.r_[self.flat, ids]
-        pieces = number[codes]
+            pieces[new], _ = self.known.find(joined, starts[new], lengths[new])
         n = self.n[pieces]
         ends = np.cumsum(n)
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.at[pieces] - (ends - n), n)]

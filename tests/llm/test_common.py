@@ -15,6 +15,15 @@ def test_salted_join_gives_what_a_plain_one_gives(spark, monkeypatch):
     assert sorted(map(tuple, salted.select("id", "n").collect())) == want
 
 
+def test_split_join_gives_what_a_plain_one_gives(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.lit("s").alias("salt"))
+    groups = spark.createDataFrame([("hot", 1, 0), ("hot", 2, 0), ("k1", 3, 0), ("none", 4, 0)], "k string, n int, copies int")
+    want = sorted(map(tuple, rows.join(groups, "k").select("id", "n", "salt", "copies").collect()))
+    for most in (100, 10_000):
+        assert sorted(map(tuple, common.split_join(rows, groups, "k", "id", most).select("id", "n", "salt", "copies").collect())) == want
+    assert common.split_join(rows, groups, "k", "id", 100).columns == rows.join(groups, "k").columns
+
+
 def test_blobs_are_files_with_a_trailer(spark):
     raw = [bytes(range(256)) * 3, b"", b"\n\r\xff\xfe"]
     path = common.write_blobs(spark.createDataFrame([(bytearray(b),) for b in raw], "data binary"), "data", "END")

@@ -71,6 +71,34 @@ def test_components_equal_brute_force(spark, words):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in found)
 
 
+def test_words_of_equal_polynomial_hashes(spark):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{one} {rest}", "x", 1), (2, f"{other} {rest}", "x", 1), (3, f"{one} {other} {one} {one} {one} {other}", "x", 1), (4, f"{other} {one} {one} {other} {other}", "x", 1), (5, "a\0 b c d", "x", 1), (6, "a b c d", "x", 1)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), words=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows, 4)
+
+
+def test_shingles_are_those_of_the_words():
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(["a", "b", "abcdefgh", "abcdefghi", "É", "x\0"]) for _ in range(rnd.randint(0, 40))).encode() for _ in range(60)]
+    for words in (1, 4, 5):
+        for f in (neardup.shingles, neardup.exact_shingles):
+            every, edges = f(texts, words)
+            sets = [[tuple(t.split(b" ")[i : i + words]) for i in range(max(1, len(t.split(b" ")) - words + 1))] if t else [] for t in texts]
+            assert np.diff(edges).tolist() == [len(s) for s in sets]
+            flat = [x for s in sets for x in s]
+            assert len({(h, f) for h, f in zip(every.tolist(), (tuple(w.lower() for w in x) for x in flat))}) == len(set(every.tolist())) == len({tuple(w.lower() for w in x) for x in flat})
+
+
+def test_confirmation_looks_at_words_not_hashes(spark):
+    """Pairs of other texts than the hashes are of."""
+    texts = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e f"), (3, "A B C D E"), (4, "v w x y z")], "row long, text string")
+    pairs = spark.createDataFrame([(u, v) for u in range(1, 5) for v in range(1, u)], "u long, v long")
+    assert sorted(map(tuple, neardup.confirmed(pairs, texts, 80, 1).collect())) == [(2, 1), (3, 1), (3, 2)]
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = corpus(9)
     docs = spark.createDataFrame(rows, SCHEMA)

@@ -7,7 +7,7 @@ import pytest
 
 from strata.llm import packing, token_files
 from strata.llm.queries import tokenizer
-from strata.llm.tokens import TextIds
+from strata.llm.tokens import Numbers, TextIds
 
 SCHEMA = "doc_id long, text string, ids string, row int"  # with names that the operators use inside
 
@@ -38,6 +38,28 @@ def test_ids_are_those_of_the_library(library):
     assert ours.batch([None, ""])[0].tolist() == []
 
 
+def test_pieces_are_known_by_their_bytes(library):
+    """The two words have equal polynomial hashes modulo 2**64, whatever the multiplier."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    for texts in ([f"{one} {other}"], [one, other], [other, f"{one} x"]):
+        ours = TextIds(tokenizer())
+        assert [x.tolist() for x in ours.batch(texts)] == [library(t) for t in texts]
+        assert ours.batch([other])[0].tolist() == library(other)
+
+
+def test_numbers_of_pieces():
+    rnd = random.Random(3)
+    pieces = list({bytes(rnd.choices(b"abc\xff", k=rnd.randint(1, 12))) for _ in range(4000)})
+    numbers = Numbers()
+    for i, p in enumerate(pieces[:2000]):
+        numbers.add(p, i)
+    data = b" ".join(pieces) + bytes(8)
+    lengths = np.array([len(p) for p in pieces])
+    found, _ = numbers.find(data, np.cumsum(lengths + 1) - lengths - 1, lengths)
+    assert found.tolist() == [*range(2000), *[-1] * (len(pieces) - 2000)]
+
+
 def test_packing_holds_every_id_once(spark, library, odd_docs):
     docs = spark.createDataFrame(odd_docs, SCHEMA)
     out = packing.pack(docs, tokenizer(), window=256, shard_tokens=4000).toPandas()
