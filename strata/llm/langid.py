@@ -3,7 +3,12 @@
 For each language, the suffix automaton of some labelled text recognises every string that occurs in it. A text is parsed greedily
 into the longest phrases that occur there (a symbol that doesn't occur is a phrase of its own). The cost of a language is its number
 of phrases times the bits that point to a phrase, log2 of the length of its labelled text; the cheapest language wins. The automata
-are dense tables, and many stretches of texts go through them in lock-step.
+are dense tables, and many stretches of texts go through them in lock-step. A stretch is parsed from its start, and the parse of the
+stretch before it goes on into it until both begin a phrase at the same place; from there on they are the same, so that phrases are
+those of the text parsed in one go.
+
+A tenth of the labelled text is kept back, and tells what a language costs by letter in its own texts, and in their letters in random
+order. Texts that cost more than a limit between these two are in no learned language.
 """
 
 from __future__ import annotations
@@ -17,14 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import held_by_worker
+from strata.llm.common import held_by_worker, unused
 
 SAMPLE_DOCS = 64  # labelled documents for each language at most
 SAMPLE_CHARS = 2_000  # from each of these, at most
 TOTAL_SYMBOLS = 96_000  # of labelled text, shared by the languages: bounds the tables
 SYMBOLS = 64  # 0: padding, 1: between words, 2: a letter of no labelled text, then the most frequent letters, and an escape for the rest if need be
 DIGITS = SYMBOLS - 4  # a rarer letter is the last symbol and three digits, which are symbols from 3 on
-STRETCH = 512  # symbols in a stretch; phrases end with it
+STRETCH = 512  # symbols in a stretch
+PIECE = 100  # symbols in a piece of the text that is kept back
+DOUBTS = 4  # deviations by which a text's cost may be over the limit, and phrases at its ends: DOUBT_PHRASES
+DOUBT_PHRASES = 2
+LIMIT = 0.6  # of the way from a language's own cost to that of random letters
 
 _alphabetic: list[np.ndarray] = []
 
@@ -74,6 +83,7 @@ class Model:
     symbol: np.ndarray  # of each letter, by code point; from SYMBOLS on: numbers of rarer letters
     tables: list[np.ndarray]  # at state * SYMBOLS + symbol: four times the next state * SYMBOLS, plus the phrases that end
     bits: np.ndarray  # for a phrase, by language
+    limits: np.ndarray  # by language: bits by symbol at the limit, and their deviation in a piece of PIECE symbols; infinite if nothing was kept back
 
     @classmethod
     def fit(cls, samples: dict[str, list[str]]) -> "Model":
@@ -89,10 +99,12 @@ class Model:
         symbol = np.where(alphabetic(), 2, 1).astype(np.uint8 if frequent > DIGITS else np.int32)
         for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))):
             symbol[c] = 3 + i if i < frequent else SYMBOLS + i - frequent
-        tables, bits = [], []
+        tables, bits, kept = [], [], []
         for lang in langs:
             text, _ = to_symbols(samples[lang], symbol)
-            goes = suffix_automaton(text[:share].tolist())
+            learned = min(share, len(text) - len(text) // 10)
+            kept.append(text[learned : learned + share // 4])
+            goes = suffix_automaton(text[:learned].tolist())
             states, start = len(goes), np.zeros(SYMBOLS, np.int64)
             start[list(goes[0])] = list(goes[0].values())
             # a symbol that doesn't go on ends the phrase and begins another one; an unknown one is a second phrase by itself
@@ -103,8 +115,15 @@ class Model:
             at = np.repeat(np.arange(states), [len(g) for g in goes]) * SYMBOLS + np.array([c for g in goes for c in g], np.int64)
             table[at] = np.array([s for g in goes for s in g.values()], np.int64) * SYMBOLS * 4
             tables.append(table.astype(np.int32))
-            bits.append(np.log2(max(2, min(share, len(text)))))
-        return cls(langs, symbol, tables, np.array(bits))
+            bits.append(np.log2(max(2, learned)))
+        model = cls(langs, symbol, tables, np.array(bits), np.full((len(langs), 2), np.inf))
+        rnd = np.random.default_rng(5)
+        for k, text in enumerate(kept):
+            if pieces := len(text) // PIECE:
+                text, owner = text[: pieces * PIECE], np.repeat(np.arange(pieces), PIECE)
+                own, mixed = (model.phrases([""] * pieces, (x, owner))[:, k] * bits[k] / PIECE for x in (text, rnd.permutation(text)))
+                model.limits[k] = own.mean() + LIMIT * (mixed.mean() - own.mean()), own.std() + bits[k] / PIECE
+        return model
 
     def phrases(self, texts: list[str], coded: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """Phrases of each text (rows) by language; ``coded``: to_symbols() of the texts."""
@@ -120,30 +139,57 @@ class Model:
         begin = first[text_of] + number * STRETCH
         length = np.minimum(STRETCH, first[text_of] + size[text_of] - begin)
         order = np.argsort(-length, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        later = np.flatnonzero(number > 0)
+        later, before = place[later], place[later - 1]  # stretches that go on after another one
+        goes_on = np.zeros(len(order), bool)
+        goes_on[before] = True
         text_of, begin, length = text_of[order], begin[order], length[order]
         active = np.searchsorted(-length, -np.arange(1, STRETCH + 1), "right")
         padded = np.r_[symbols, np.zeros(1, np.uint8)]
         steps = [padded[begin[: active[t]] + t].astype(np.int64) for t in range(int(length.max()))]
+        starts = np.zeros((len(steps), len(begin)), bool)  # where phrases begin
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
-            for s in steps:
+            state = np.zeros(len(begin), np.int64)
+            starts[:] = False
+            for t, s in enumerate(steps):
                 m = len(s)
                 got = table[state[:m] + s]
-                count[:m] += got & 3
+                starts[t, :m] = (state[:m] == 0) | (got & 3 > 0)
                 state[:m] = got >> 2
-            count += state != 0
+            count = starts.sum(0)
+            open_, t = later[state[before] != 0], 0
+            at = state[before[state[before] != 0]]
+            lost: list[int] = []  # texts of which a stretch was passed through to its end, and others follow
+            while len(open_):
+                got = table[at + padded[begin[open_] + t]]
+                begins, own = (at == 0) | (got & 3 > 0), starts[t, open_]
+                count[open_] += np.where(begins & own, 0, begins.astype(np.int64) - own)
+                t += 1
+                ended = length[open_] == t
+                lost += text_of[open_[ended & goes_on[open_] & ~(begins & own)]].tolist()
+                go = ~ended & ~(begins & own)
+                open_, at = open_[go], (got >> 2)[go]
             out[:, k] = np.bincount(text_of, count, len(texts))
+            for i in set(lost):
+                out[i, k] = parsed(symbols[first[i] : first[i] + size[i]].tolist(), table)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """The cheapest language of each text (ties: the first by name) and its share of the posterior; `und`, 0 without letters.
 
-        And the share of its letters that the model knows.
+        And whether the text is in a learned language: at least half of its letters are known, and what it costs is within the limit
+        of some language. Where nothing was kept back, the limit is infinite.
         """
         full = [t or "" for t in texts]
         symbols, owner = to_letters(full, self.symbol)
         known = np.bincount(owner[symbols > 2], minlength=len(full)) / np.maximum(1, np.bincount(owner[symbols > 1], minlength=len(full)))
-        cost = self.phrases(full, spelled(symbols, owner)) * self.bits
+        coded = spelled(symbols, owner)
+        phrases = self.phrases(full, coded)
+        cost, size = phrases * self.bits, np.bincount(coded[1], minlength=len(full))[:, None]
+        limit = size * self.limits[:, 0] + DOUBTS * self.limits[:, 1] * np.sqrt(size * PIECE) if self.langs else np.zeros((len(full), 0))
+        fits = (known >= 0.5) & ((phrases - DOUBT_PHRASES) * self.bits <= np.nan_to_num(limit, nan=np.inf)).any(1)
         langs, scores = [], []
         for t, c in zip(texts, cost):
             if not self.langs or not c.any() or not t or not any(map(str.isalpha, t)):
@@ -153,7 +199,17 @@ class Model:
                 best = int(np.argmin(c))
                 langs.append(self.langs[best])
                 scores.append(float(1 / np.exp2(np.minimum(0, c[best] - c)).sum()))
-        return langs, scores, known.tolist()
+        return langs, scores, fits.tolist()
+
+
+def parsed(symbols: list[int], table: np.ndarray) -> int:
+    """Phrases of one text, symbol by symbol."""
+    state = count = 0
+    for s in symbols:
+        got = int(table[state + s])
+        count += state == 0 or got & 3 > 0
+        state = got >> 2
+    return count
 
 
 def to_symbols(texts: list[str], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,15 +257,15 @@ def fit(docs: DataFrame, usable=None) -> Model:
 
 
 def with_language(docs: DataFrame, model: Model, name: str = "language") -> DataFrame:
-    """docs with a struct column (lang, score, known) from its text."""
+    """docs with a struct column (lang, score, fits) from its text."""
     raw = zlib.compress(pickle.dumps(model), 1)
     held = docs.sparkSession.sparkContext.broadcast(raw)  # of bounded size: TOTAL_SYMBOLS
     key = zlib.crc32(raw)
 
-    @F.arrow_udf("lang string, score double, known double")
+    @F.arrow_udf("lang string, score double, fits boolean")
     def predict(texts: pa.Array) -> pa.Array:
         own = held_by_worker(("language", key), lambda: pickle.loads(zlib.decompress(held.value)))
-        langs, scores, known, given = [], [], [], texts.to_pylist()
+        langs, scores, fits, given = [], [], [], texts.to_pylist()
         at = 0
         while at < len(given):
             end, size = at, 0
@@ -217,8 +273,8 @@ def with_language(docs: DataFrame, model: Model, name: str = "language") -> Data
                 size += len(given[end] or "")
                 end += 1
             a, b, c = own.predict(given[at:end])
-            langs, scores, known, at = langs + a, scores + b, known + c, end
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())], ["lang", "score", "known"])
+            langs, scores, fits, at = langs + a, scores + b, fits + c, end
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())], ["lang", "score", "fits"])
 
     return docs.withColumn(name, predict("text"))
 
@@ -232,18 +288,19 @@ def identify(docs: DataFrame) -> DataFrame:
     """documents -> one row per row: doc_id, held_out, lang_pred, score.
 
     The model learns from rows that are not held out and have a lang. Texts that are null or without a letter are `und`
-    with score 0, and all texts if nothing can be learned. Every row, repeated ones too, is predicted from its whole text alone; a
-    null id is not held out, and further columns are ignored.
+    with score 0, and all texts if nothing can be learned. Every row, repeated ones too, is predicted from its whole text alone, however
+    long; a null id is not held out, and further columns are ignored.
     """
     model = fit(docs, ~held_out())
     return with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of documents, with all their columns, whose text is in a learned language.
 
-    Texts without a letter (`und`) go, and texts with less than a share ``least`` of letters that the model knows: another script.
-    Short texts that several languages fit as well stay. Nothing stays if no row has a lang.
+    Texts without a letter (null and empty ones, too: `und`) go; so do texts in another script, and texts that the automata of all
+    languages parse hardly better than letters in random order. Texts too short to tell, and those that several languages fit as well,
+    stay. Every row is judged by its whole text alone, however long, repeated rows alike. Nothing stays if no row has a lang.
     """
-    model = fit(docs)
-    return with_language(docs, model, "__language").where((F.col("__language.lang") != "und") & (F.col("__language.known") >= least)).select(*docs.columns)
+    name = unused("language", docs)
+    return with_language(docs, fit(docs), name).where((F.col(f"{name}.lang") != "und") & F.col(f"{name}.fits")).select(*docs.columns)

@@ -10,24 +10,47 @@ EN, DE = "the quick brown fox jumps over the lazy dog and runs away from it", "d
 def phrases(text: str, sample: str, symbol: np.ndarray) -> int:
     """Brute force: the longest match in the sample, again and again."""
     shown = lambda t: bytes(langid.to_symbols([t], symbol)[0].tolist())
-    inside, whole, n = shown(sample), shown(text), 0
-    for at in range(0, len(whole), langid.STRETCH):
-        part = whole[at : at + langid.STRETCH]
-        i = 0
-        while i < len(part):
-            j = i + 1
-            while j < len(part) and part[i : j + 1] in inside:
-                j += 1
-            i, n = j, n + 1
+    inside, whole, n, i = shown(sample), shown(text), 0, 0
+    while i < len(whole):
+        j = i + 1
+        while j < len(whole) and whole[i : j + 1] in inside:
+            j += 1
+        i, n = j, n + 1
     return n
 
 
-def test_phrases_equal_brute_force():
+def learned(text: str, symbol: np.ndarray) -> str:
+    """The part of a sample that isn't kept back."""
+    n, upto = len(langid.to_symbols([text], symbol)[0]), len(text)
+    while len(langid.to_symbols([text[:upto]], symbol)[0]) > n - n // 10:
+        upto -= 1
+    return text[:upto]
+
+
+def test_phrases_equal_brute_force(monkeypatch):
     model = langid.Model.fit({"de": [DE], "en": [EN]})
-    texts = [EN, DE, "Fox über dog!", "", "qqq zzz 123", "漢字 fox", "läuft" * 300, (EN + " " + DE) * 20]
-    found = model.phrases(texts)
-    for t, row in zip(texts, found):
-        assert row.tolist() == [phrases(t, DE, model.symbol), phrases(t, EN, model.symbol)]
+    texts = [EN, DE, "Fox über dog!", "", "qqq zzz 123", "漢字 fox", "läuft" * 300, (EN + " " + DE) * 20, EN * 40, "the quick brown fox " * 200]
+    known = [learned(x, model.symbol) for x in (DE, EN)]
+    want = [[phrases(t, x, model.symbol) for x in known] for t in texts]
+    assert model.phrases(texts).tolist() == want
+    monkeypatch.setattr(langid, "STRETCH", 7)  # phrases are longer than stretches, too
+    assert model.phrases(texts).tolist() == want
+
+
+def made(rnd, syllables, n):
+    return " ".join("".join(rnd.choice(syllables, rnd.integers(1, 4))) for _ in range(n))
+
+
+def test_texts_in_no_learned_language_go(spark):
+    """Four languages of syllables over the same letters; two are learned."""
+    rnd = np.random.default_rng(2)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    tongues = [["".join(rnd.choice(letters, 3)) for _ in range(25)] for _ in range(4)]
+    rows = [(i, made(rnd, tongues[i % 2], 120), "xy"[i % 2], "", "") for i in range(80)]
+    strange = [(100 + i, made(rnd, tongues[2 + i % 2], 120), None, "", "") for i in range(20)] + [(200 + i, " ".join("".join(rnd.choice(letters, 5)) for _ in range(120)), None, "", "") for i in range(10)]
+    short = [(300 + i, made(rnd, tongues[i % 2], 3), None, "", "") for i in range(20)]
+    kept = {r.doc_id for r in langid.keep_known(spark.createDataFrame(rows + strange + short, SCHEMA)).collect()}
+    assert kept == {r[0] for r in rows + short}
 
 
 def docs(spark, more=()):
@@ -70,7 +93,7 @@ def test_languages_of_many_letters(spark):
     letters = sorted(set("".join(r[1] for r in rows)))
     assert len({tuple(langid.to_symbols([c], model.symbol)[0].tolist()) for c in letters}) == len(letters) > 400
     found = model.phrases([rows[0][1] + "x"])[0].tolist()
-    assert found == [phrases(rows[0][1] + "x", "\n".join(r[1] for r in rows if r[2] == lang), model.symbol) for lang in ("ko", "zh")]
+    assert found == [phrases(rows[0][1] + "x", learned("\n".join(r[1] for r in rows if r[2] == lang), model.symbol), model.symbol) for lang in ("ko", "zh")]
 
 
 def test_held_out_accuracy(spark):
