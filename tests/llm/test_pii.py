@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -32,11 +33,11 @@ def test_base_spans_equal_brute_force(spark):
     rnd = random.Random(7)
     pieces = ["a@b.co", "a@b.co_x@y.zz", "é", "😀", "1.2.3.4", "001.2.3.255", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "4465758382889437", "+1 (663) 555-6869", "+1", "+", "12", "-", " ", ".", "@", "_", "%x@h-.a", "0", "x@y", "+49 30 1234567 89", "\n", "9 9  9"]
     texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
-    slow = [None, "", "a" * 200_000, "1" * 100_000, "1 " * 50_000, "1." * 50_000, "+1" + "-" * 100_000, "a@" * 50_000, "a.b@c.d " * 2000, "%" * 100_000 + "@x.y"]
-    texts += [t and t[: len(t) // 100] for t in slow]
+    slow = [None, "", "a" * 200_000, "1" * 100_000, "1 " * 50_000, "1." * 50_000, "+1" + "-" * 100_000, "a@" * 50_000, "a.b@c.d " * 20_000, "%" * 100_000 + "@x.y"]
+    texts += [t and t[: len(t) // 100] for t in slow] + ["é a.b@c.d " * 1000, "4111 1111 1111 1111, " * 300]
     assert pii.personal_data(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(slow)], SCHEMA)).count() == len(slow)
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(0, "a@b.cd", "x", 1), (None, "a@b.cd", "x", 1)]
-    found = pii.personal_data(spark.createDataFrame(rows, SCHEMA).repartition(8), support=10**9).collect()
+    found = pii.personal_data(spark.createDataFrame(rows, SCHEMA).repartition(8), disclosure=1.1).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.spans) for r in found) == sorted((d is None, d or 0, spans(t)) for d, t, *_ in rows)
     for r in found:
         said = r.spans.split(",") if r.spans else []
@@ -44,25 +45,64 @@ def test_base_spans_equal_brute_force(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in said) for k, *_ in RULES]
 
 
+def words(text):
+    return [(m.start(), m[0].lower(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+
+
+def brute_terms(rows):
+    """For each row, the places of the terms whose PMI with one of its entities reaches the share; counted pair by pair."""
+    n = len(rows)
+    beside, anywhere, held = [], [], []
+    for _, t, *_ in rows:
+        own, bare, at = set(), "", 0
+        for k, (_, rule, ok) in enumerate(RULES):
+            own |= {f"{k}:{m[0].lower() if k < 2 else digits(m[0])}" for m in re.finditer(rule, t or "") if ok(m[0])}
+        for s in spans(t).split(",") if spans(t) else []:
+            _, a, b = s.split(":")
+            bare, at = f"{bare} {t[at : int(a)]}", int(b)
+        bare += f" {(t or '')[at:]}"
+        held.append(own)
+        beside.append({w for _, w, _ in words(bare)})
+        anywhere.append({w for _, w, _ in words(t or "")})
+    out = []
+    for (_, t, *_), own in zip(rows, held):
+        marked, base = set(), [(int(a), int(b)) for _, a, b in (s.split(":") for s in spans(t).split(",") if s)]
+        for e in own:
+            has = [i for i in range(n) if e in held[i]]
+            for w in {w for _, w, _ in words(t or "")}:
+                et = sum(w in beside[i] for i in has)
+                t_n = max(et, sum(w in a for a in anywhere))
+                if et and len(has) < n and math.log(et * n / (len(has) * (t_n + pii.UNSEEN))) >= pii.DISCLOSURE * math.log(n / len(has)):
+                    marked |= {(a, b) for a, x, b in words(t) if x == w and not any(p < b and a < q for p, q in base)}
+        out.append(marked)
+    return out
+
+
 def test_disclosing_terms_equal_brute_force(spark):
     rnd = random.Random(1)
-    common = [f"w{i}" for i in range(40)]
     rows = []
-    for i in range(200):
-        words = [rnd.choice(common) for _ in range(20)] + [f"only{i}"]
+    for i in range(300):
+        text = [rnd.choice([f"w{j}" for j in range(40)]) for _ in range(20)] + [f"only{i}", f"two{i // 2}"]
         if i < 12:
-            words += ["zebra", "bob@corp.com"] + (["often"] if i < 8 else [])
+            text += ["Zebra", "bob@corp.com", "zebra"] + (["often"] if i < 8 else [])
         elif i < 30:
-            words += ["often"]
-        rows.append((i, " ".join(words), "x", 1))
-    df = spark.createDataFrame(rows, SCHEMA)
-    found = {r.doc_id: r for r in pii.personal_data(df).collect()}
-    for i, t, *_ in rows:
-        marked = {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in found[i].spans.split(",") if s) if k == "term"}
-        assert marked == ({"zebra"} if i < 12 else set())
-        assert found[i].n_email == (i < 12)
+            text += ["often"]
+        elif i < 34:
+            text += [f"a{i}@x.org", f"b{i}@x.org", "10.0.0.7", "zoo"]
+        rows.append((i, " ".join(text), "x", 1))
+    rows += [(0, rows[0][1], "x", 1), (None, "kim rare 10.0.0.7 corp Kim", "x", 1), (400, None, "x", 1), (401, "", "x", 1), (401, "10.0.0.7", "x", 1), (402, " ".join(f"v{j}" for j in range(3000)) + " x@y.zz", "x", 1)]
+    rows += [(1000 + i, f"plain text {i}", "x", 1) for i in range(800)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    found = sorted(((r.doc_id, r.spans) for r in pii.personal_data(df).collect()), key=key)
+    want = []
+    for (d, t, *_), terms in zip(rows, brute_terms(rows)):
+        every = sorted([(int(a), k, int(b)) for k, a, b in (s.split(":") for s in spans(t).split(",") if s)] + [(a, "term", b) for a, b in terms])
+        want.append((d, ",".join(f"{k}:{a}:{b}" for a, k, b in every)))
+    assert found == sorted(want, key=key)
+    assert sum(s.count("term") for _, s in found) > 3000
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert "[TERM] [EMAIL]" in clean[3] and "zebra" not in clean[3] and clean[150] == rows[150][1]
+    assert "[TERM] [EMAIL]" in clean[3] and "ebra" not in clean[3] and clean[150] == rows[150][1] and "only31" not in clean[31] and "two15" not in clean[31]
 
 
 def test_no_python_and_empty_tables(spark):
