@@ -168,11 +168,13 @@ def find_spans(docs: DataFrame, disclosure: float = DISCLOSURE, text: bool = Fal
     marked = cut(marked.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")))
     shown = ["doc_id", "base", "all"] + ["text"] * text
 
-    def free(value: Column, start: Column, end: Column) -> Column:
-        return F.array_contains(F.col("terms"), F.lower(value)) & ~F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
+    def with_terms(terms: Column) -> Column:
+        def free(value: Column, start: Column, end: Column) -> Column:
+            return F.array_contains(terms, F.lower(value)) & ~F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
 
-    more = found.where("size(entities) > 0").join(marked, "row").withColumn("terms", F.array_intersect(_terms(F.col("text")), "terms"))
-    more = more.withColumn("all", F.array_sort(F.concat("base", _located(F.col("text"), WORD, TERM, free))))
+        return F.array_sort(F.concat("base", _located(F.col("text"), WORD, TERM, free)))
+
+    more = found.where("size(entities) > 0").join(marked, "row").withColumn("all", _once(F.array_intersect(_terms(F.col("text")), "terms"), with_terms))
     rest = found.join(marked.select("row"), "row", "left_anti").withColumn("all", F.col("base"))
     return rest.select(*shown).unionByName(more.select(*shown))
 
