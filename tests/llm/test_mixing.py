@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from strata.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, weight string, whole int"
@@ -63,6 +65,44 @@ def test_target_entropy_and_budget(spark):
     assert mixing.mix(df, target_entropy=math.log(3), max_repetition=None).select("mix_weight").distinct().count() <= 3
 
 
+def test_amounts_equal_brute_force(spark):
+    """The documents that a mixture uses, and how often, from the definition."""
+    df = docs(spark, [(9000, None, "big", "", 0), (9001, "a b", None, "", 0)])
+    for goals in ({"max_repetition": 2.0}, {"target_entropy": 0.9, "max_repetition": None, "budget": 20_000.0}):
+        rows = df.withColumn("place", F.pmod(F.xxhash64(F.lit(0), "doc_id", "text"), F.lit(1 << 62))).collect()
+        whole = Counter()
+        for r in rows:
+            whole[r.source] += len((r.text or "").split())
+        total = sum(whole.values())
+        out = mixing.mix(df, **goals).collect()
+        weights = {r.source: r.mix_weight for r in out}
+        spend = goals.get("budget") or max(whole[s] / weights[s] for s in weights)
+        want = Counter()
+        for s in weights:
+            target = round(weights[s] * spend / whole[s], 9)
+            rest = (target - int(target)) * whole[s]
+            before = 0
+            for r in sorted((r for r in rows if r.source == s), key=lambda r: r.place):
+                want[r.doc_id] += int(target) + (before < rest)
+                before += len((r.text or "").split())
+        assert Counter(r.doc_id for r in out) == +want
+        shares = {s: n / total for s, n in whole.items()}
+        a = solved(shares.values(), lambda a, w: (goals.get("target_entropy") is None or -sum(x * math.log(x) for x in w) <= goals["target_entropy"]) and (goals["max_repetition"] is None or (max(shares.values()) / min(shares.values())) ** (1 - a) <= 2))
+        z = sum(p**a for p in shares.values())
+        assert all(abs(weights[s] - p**a / z) < 1e-3 for s, p in shares.items())
+
+
+def test_blocks_stay_together(spark):
+    """In the mixed order of an epoch, each block of a source's permutation is one run."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "concat('w ', id) AS text", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS source")
+    out = mixing.mix(rows, max_repetition=3.0).withColumn("block", F.expr("pmod(xxhash64(0, doc_id, text), 1L << 62) >>> 50")).orderBy("mix_epoch", "mix_order").collect()
+    for epoch in {r.mix_epoch for r in out}:
+        blocks = [(r.source, r.block) for r in out if r.mix_epoch == epoch]
+        assert sum(a != b for a, b in zip(blocks, blocks[1:])) + 1 == len(set(blocks))
+    orders = [[r.block for r in out if r.mix_epoch == e and r.source == "a"] for e in (1, 2)]
+    assert orders[0] != orders[1][: len(orders[0])] or not orders[1]
+
+
 def test_epochs_are_whole_permutations(spark):
     out = mixing.mix(docs(spark), max_repetition=3.0).collect()
     by = {}
