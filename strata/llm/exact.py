@@ -70,8 +70,8 @@ def find_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """documents -> one row per row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. Null text counts as empty, and empty texts are copies of each other. The row
-    with the largest doc_id stays (null ids come last); of rows that repeat this id too, one stays. An empty table gives no rows, and
-    further columns are ignored.
+    with the largest doc_id stays (null ids come last); of rows that repeat this id too, one stays. Texts of any length are read whole.
+    An empty table gives no rows, and further columns are ignored.
     """
     rows = docs.select("doc_id", text_sha256("text").alias("digest")).withColumn("row", F.monotonically_increasing_id())
     out = groups_of_copies(cut(rows), counters)
@@ -79,8 +79,7 @@ def find_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """The rows of documents, with all their columns, that find_copies keeps."""
-    rows = cut(docs.withColumns({"__digest": text_sha256("text"), "__row": F.monotonically_increasing_id()}))
-    keys = rows.select("doc_id", F.col("__digest").alias("digest"), F.col("__row").alias("row"))
-    gone = cut(groups_of_copies(keys, counters).where("row <> keep_row").select(F.col("row").alias("__row")))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    """The rows of documents, with all their columns, whatever their names, that find_copies keeps; see there for nulls, ties and repeated rows."""
+    rows = cut(docs.select(F.struct("*").alias("kept"), "doc_id", text_sha256("text").alias("digest")).withColumn("row", F.monotonically_increasing_id()))
+    gone = cut(groups_of_copies(rows.select("doc_id", "digest", "row"), counters).where("row <> keep_row").select("row"))
+    return rows.join(gone, "row", "left_anti").select("kept.*")

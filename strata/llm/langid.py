@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import held_by_worker, unused
+from strata.llm.common import held_by_worker
 
 SAMPLE_DOCS = 64  # labelled documents for each language at most
 SAMPLE_CHARS = 2_000  # from each of these, at most
@@ -302,5 +302,5 @@ def keep_known(docs: DataFrame) -> DataFrame:
     languages parse hardly better than letters in random order. Texts too short to tell, and those that several languages fit as well,
     stay. Every row is judged by its whole text alone, however long, repeated rows alike. Nothing stays if no row has a lang.
     """
-    name = unused("language", docs)
-    return with_language(docs, fit(docs), name).where((F.col(f"{name}.lang") != "und") & F.col(f"{name}.fits")).select(*docs.columns)
+    rows = with_language(docs.select(F.struct("*").alias("kept"), "text"), fit(docs))
+    return rows.where((F.col("language.lang") != "und") & F.col("language.fits")).select("kept.*")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, drop, held_by_worker, salted_left, split_join, unused
+from strata.llm.common import cut, drop, held_by_worker, salted_left, split_join
 from strata.llm.tokens import eight_bytes
 
 BAND, TABLES = 3, 14  # minhashes in a band (two bands make a key), bands in each collection
@@ -351,8 +351,7 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, words: int = WORDS)
     """The rows of documents, with all their columns, that near_duplicates keeps.
 
     A row is known by its doc_id and text: of rows that repeat an id, those with other texts are judged each for itself, and those
-    with the same text stay or go together. Rows with a null id stay.
+    with the same text stay or go together. Rows with a null id, and those without a word, stay. Columns may have any names.
     """
-    h = unused("h", docs)
-    gone = cut(link(cut(sketch(docs, words).withColumn("h", F.xxhash64("text"))), threshold, words, "h").where(~is_kept()).select("doc_id", F.col("h").alias(h)).distinct())
-    return docs.withColumn(h, F.xxhash64("text")).join(gone, ["doc_id", h], "left_anti").select(*docs.columns)
+    gone = cut(link(cut(sketch(docs, words).withColumn("h", F.xxhash64("text"))), threshold, words, "h").where(~is_kept()).select("doc_id", "h").distinct())
+    return docs.select(F.struct("*").alias("kept"), "doc_id", F.xxhash64("text").alias("h")).join(gone, ["doc_id", "h"], "left_anti").select("kept.*")
