@@ -25,7 +25,7 @@ COUNTS = np.array([0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 AT_ONCE = 256  # blocks
 FILE_IDS = 3_000_000  # in a file, about
-PART_BYTES, MAX_PARTS = 8_000_000, 4096  # of text in a range of documents, about; ranges
+PART_BYTES, MANY_PARTS, LARGE_PART_BYTES = 8_000_000, 4096, 256_000_000  # of text in a range of documents, about; beyond so many, ranges grow to the last
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,11 +143,12 @@ def block(data: bytes, number: int) -> np.ndarray:
 def write_files(docs: DataFrame, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS, parts: int | None = None) -> str:
     """Writes documents in ascending order of doc_id (nulls first; rows that repeat an id in any order); gives the folder.
 
-    Ranges of ids, MAX_PARTS at most, are dealt to tasks, and sorted there; files are cut from the sorted stream.
+    Ranges of ids are dealt to tasks, and sorted there; files are cut from the sorted stream.
     """
     if parts is None:
         n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-        parts = min(MAX_PARTS, max(1, -(-(size + 16 * n) // PART_BYTES)))
+        size += 16 * n
+        parts = max(1, min(MANY_PARTS, -(-size // PART_BYTES)), -(-size // LARGE_PART_BYTES))
     shares = [i / parts for i in range(1, parts)]
     found = docs.select(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts)).alias("b")).first().b if shares else []
     bounds = np.array(sorted(set(found or [])), np.int64)
@@ -201,15 +202,18 @@ def read_files(spark, path: str, digest: bool = False) -> DataFrame:
 def read_digests(spark, path: str) -> DataFrame:
     """A folder of write_files -> doc_id, start, n_tokens, ids_crc32; start counts the ids of all documents before."""
     rows = cut(read_files(spark, path, digest=True))
-    # one row per file: a running sum over the files
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS before")
+    # running sums over the files of a range, and over ranges: one row per range in one task
+    files = cut(rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("range", F.shiftright("part", 32)))
+    ranges = files.groupBy("range").agg(F.sum("n").alias("n")).selectExpr("range", "sum(n) OVER (ORDER BY range) - n AS before")
+    within = files.selectExpr("part", "range", "sum(n) OVER (PARTITION BY range ORDER BY part) - n AS inside")
+    totals = within.join(ranges, "range").selectExpr("part", "before + inside AS before")
     return rows.join(totals, "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, file_ids: int = FILE_IDS, parts: int | None = None) -> DataFrame:
     """documents -> files -> one row per row: doc_id, start, n_tokens, ids_crc32, all from the files.
 
-    Null and empty texts are the end id alone. Null ids come first, rows that repeat an id follow each other, an empty table gives
-    no rows, and further columns are ignored.
+    Null and empty texts are the end id alone; texts of any length are coded whole. Null ids come first, rows that repeat an id follow
+    each other (in one task), an empty table gives no rows, and further columns are ignored.
     """
     return read_digests(docs.sparkSession, write_files(docs, tokenizer, end_id, file_ids, parts))
