@@ -30,7 +30,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents so that sources have their weights: no source more than twice, every document at least once."""
-    return mixing.mix(docs, max_repetition=2.0).select(*docs.columns)
+    return mixing.mix(docs, max_repetition=2.0, marks=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
