@@ -28,6 +28,7 @@ BAND, TABLES = 3, 14  # minhashes in a band (two bands make a key), bands in eac
 THRESHOLD = 80  # per cent
 WORDS = 5  # in a shingle
 CHUNK = 2_000_000  # bytes of text at a time
+PAIRS_AT_ONCE = 250
 
 _random = np.random.default_rng(11)
 MULTIPLY = _random.integers(1, 1 << 63, 2 * TABLES * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -222,26 +223,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) ->
     both = split_join(split_join(pairs.select("u", "v"), at("v"), "v", "u"), at("u"), "u", "v")
 
     def alike(batches):
-        for batch in batches:
-            u, v = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_u", "text_v"))
-            keep, at = np.zeros(len(u), bool), 0
-            while at < len(u):
-                end, size, place, texts = at, 0, {}, []
-                while end < len(u) and size < CHUNK:
-                    for t in (u[end], v[end]):
-                        if place.setdefault(t, len(texts)) == len(texts):
-                            texts.append(t)
-                            size += len(t)
-                    end += 1
+        held_by_worker(None, None)
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAIRS_AT_ONCE):
+                batch = whole.slice(at, PAIRS_AT_ONCE)
+                u, v = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_u", "text_v"))
+                texts = list(dict.fromkeys(u + v))
                 every, edges = exact_shingles(texts, words)
-                sets = [np.unique(every[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-                for i in range(at, end):
-                    a, b = sets[place[u[i]]], sets[place[v[i]]]
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    keep[i] = 100 * common >= threshold * (len(a) + len(b) - common)
-                at = end
-            found = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(found)) for c in ("u", "v")], ["u", "v"])
+                sets = dict(zip(texts, (np.unique(every[a:b]) for a, b in zip(edges[:-1], edges[1:]))))
+                keep = []
+                for a, b in zip(u, v):
+                    common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    keep.append(100 * common >= threshold * (len(sets[a]) + len(sets[b]) - common))
+                yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return cut(both.select("u", "v", "text_u", "text_v").mapInArrow(alike, "u long, v long"))
 

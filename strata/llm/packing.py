@@ -80,7 +80,7 @@ def document_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
 def rarest(ids: np.ndarray, starts: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two ids of greatest rarity (the last place of which says: none) in each document of a flat array."""
     none, out = len(rarity) - 1, []
-    of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(ids)))
+    of = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=len(ids)))
     held = rarity[ids]
     for _ in range(2):
         most = np.maximum.reduceat(held, starts)
@@ -96,14 +96,14 @@ def routed(tokens: DataFrame, rarity) -> DataFrame:
     """tokens with ``first`` and ``second``, their rarest ids; ``rarity`` is a broadcast array."""
 
     def run(batches):
-        for batch in batches:
-            n = batch.column("n_tokens").to_numpy()
-            raw = batch.column("ids").to_pylist()
-            if not raw:
-                continue
-            ids = np.concatenate([np.frombuffer(r, f"<u{len(r) // k}") for r, k in zip(raw, n.tolist())]).astype(np.int64)
-            first, second = rarest(ids, np.cumsum(n) - n, rarity.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(second)], [*batch.schema.names, "first", "second"])
+        held_by_worker(None, None)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                n = batch.column("n_tokens").to_numpy()
+                ids = np.concatenate([np.frombuffer(raw.as_buffer(), f"<u{len(raw.as_buffer()) // k}") for raw, k in zip(batch.column("ids"), n.tolist())])
+                first, second = rarest(ids, np.cumsum(n) - n, rarity.value)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(second)], [*batch.schema.names, "first", "second"])
 
     return tokens.mapInArrow(run, "doc_id long, row long, n_tokens long, ids binary, first long, second long")
 
@@ -111,7 +111,7 @@ def routed(tokens: DataFrame, rarity) -> DataFrame:
 def into_shards(tokens: DataFrame, df: np.ndarray, shard_tokens: int) -> DataFrame:
     """Stored tokens with ``shard`` and ``sub``: a group of both has ``shard_tokens`` at most, but for a single document and what chance adds."""
     context = tokens.sparkSession.sparkContext
-    rarity = context.broadcast(np.r_[np.where(df > 1, 1 / np.maximum(df, 1), 0), 0.0])
+    rarity = context.broadcast(np.r_[np.where(df > 1, 1 / np.maximum(df, 1), 0), 0])
     rows = routed(tokens, rarity)
     routes = cut(rows.select("n_tokens", "first", "second"))
     # one row per id of the vocabulary at most
