@@ -10,10 +10,12 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BROADCAST_BYTES = 256 << 20
 MASK = (1 << 64) - 1
 M1, M2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
 
@@ -48,6 +50,39 @@ def murmur3(data: bytes) -> tuple[int, int]:
     return a, a + b & MASK
 
 
+def murmur3_many(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves for many keys, those of a length at a time."""
+    out = np.zeros((2, len(keys)), np.uint64)
+    lengths = np.array([len(k) for k in keys], np.int64)
+    word = lambda x: np.uint64(x)
+    turn = lambda x, r: x << word(r) | x >> word(64 - r)
+
+    def final(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> word(33)) * word(m)
+        return x ^ x >> word(33)
+
+    for size in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == size)
+        blocks, tail = divmod(size, 16)
+        raw = b"".join(keys[i] + bytes(-size % 16) for i in at.tolist())
+        halves = np.frombuffer(raw, "<u8").reshape(len(at), -1, 2) if size else np.zeros((len(at), 0, 2), np.uint64)
+        a, b = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for i in range(blocks):
+            a = (turn(a ^ turn(halves[:, i, 0] * word(M1), 31) * word(M2), 27) + b) * word(5) + word(0x52DCE729)
+            b = (turn(b ^ turn(halves[:, i, 1] * word(M2), 33) * word(M1), 31) + a) * word(5) + word(0x38495AB5)
+        if tail:  # zeros behind a short half change nothing
+            b = b ^ turn(halves[:, blocks, 1] * word(M2), 33) * word(M1)
+            a = a ^ turn(halves[:, blocks, 0] * word(M1), 31) * word(M2)
+        a, b = a ^ word(size), b ^ word(size)
+        a = a + b
+        b = a + b
+        a, b = final(a), final(b)
+        a = a + b
+        out[0, at], out[1, at] = a, a + b
+    return out[0], out[1]
+
+
 def shape(items: int, rate: float = 0.01) -> tuple[int, int]:
     """(bits, hash functions) for a number of items and a rate of false positives."""
     bits = math.ceil(-items * math.log(rate) / math.log(2) ** 2)
@@ -74,6 +109,18 @@ class Bloom:
     def contains(self, key: bytes) -> bool:
         return all(self.data[p >> 3] >> (p & 7) & 1 for p in self._places(key))
 
+    def _places_many(self, keys: list[bytes]) -> np.ndarray:
+        a, b = murmur3_many(keys)
+        return (a[:, None] + np.arange(self.hashes, dtype=np.uint64) * b[:, None]) % np.uint64(max(1, self.bits))
+
+    def add_many(self, keys: list[bytes]) -> None:
+        places = self._places_many(keys).ravel()
+        np.bitwise_or.at(self.data, places >> np.uint64(3), np.uint8(1) << (places & np.uint64(7)).astype(np.uint8))
+
+    def contains_many(self, keys: list[bytes]) -> np.ndarray:
+        places = self._places_many(keys)
+        return (self.data[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1).astype(bool).all(1)
+
     def merge(self, other: "Bloom") -> "Bloom":
         return Bloom(self.bits, self.hashes, self.data | other.data)
 
@@ -100,8 +147,7 @@ def bloom_agg(keys: DataFrame, items: int, rate: float = 0.01) -> DataFrame:
     def fill(batches):
         bloom = Bloom(bits, hashes)
         for batch in batches:
-            for k in batch["k"]:
-                bloom.add(bytes(k))
+            bloom.add_many([bytes(k) for k in batch["k"]])
         yield pd.DataFrame({"bloom": [bloom.to_bytes()]})
 
     def merge(_, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,13 +162,16 @@ def bloom_agg(keys: DataFrame, items: int, rate: float = 0.01) -> DataFrame:
     return some.groupBy(F.lit(0).alias("g")).applyInPandas(merge, "bloom binary")
 
 
-@F.pandas_udf(T.BooleanType())
-def might_contain(bloom: pd.Series, key: pd.Series) -> pd.Series:
-    """Whether a filter may hold a key."""
-    known: dict[bytes, Bloom] = {}
-    out = []
-    for raw, k in zip(bloom, key):
-        if raw not in known:
-            known[raw] = Bloom.from_bytes(raw)
-        out.append(known[raw].contains(bytes(k)))
-    return pd.Series(out, dtype=bool)
+def might_contain(keys: DataFrame, column: str, made: DataFrame, name: str = "found") -> DataFrame:
+    """keys with a column that says whether the filter of ``made`` (of bloom_agg) may hold ``column``. Each worker process reads the filter once; it is broadcast up to BROADCAST_BYTES, and an error beyond."""
+    raw = bytes(made.first().bloom)
+    if len(raw) > BROADCAST_BYTES:
+        raise ValueError(f"a filter of {len(raw)} bytes is too large to be on every node")
+    shared = keys.sparkSession.sparkContext.broadcast(raw)
+
+    @F.arrow_udf(T.BooleanType())
+    def held(column: pa.Array) -> pa.Array:
+        bloom = Bloom.from_bytes(shared.value)
+        return pa.array(bloom.contains_many(column.cast(pa.binary()).to_pylist()))
+
+    return keys.withColumn(name, held(F.col(column).cast("binary")))

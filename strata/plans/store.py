@@ -7,6 +7,7 @@ snapshot stays as it is while others write. There is one writer at a time; a sec
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Iterable
@@ -36,18 +37,18 @@ class SyncMode(Enum):
 
 @dataclass(frozen=True)
 class WalOptions:
-    """Group commit of single writes: they wait in memory, unacknowledged by ``flush_log``, until one of the limits is reached."""
+    """Group commit of single writes: they wait in memory until one of the limits is reached. A commit that fails keeps them for the next one."""
 
     group_commit: bool = False
     max_buffer_bytes: int = 256 * 1024
     max_records: int = 1024
-    max_interval_ms: float = 10.0  # since the last commit, seen when the next write comes
+    max_interval_ms: float = 10.0  # that a write waits at most
     sync_mode: SyncMode = SyncMode.FDATASYNC
 
 
 @dataclass(frozen=True)
 class Options:
-    flush_entries: int = 1024 * 1024  # log records at which a write is followed by a flush
+    flush_entries: int = 1024 * 1024  # different keys in the log, removed ones included, at which a write is followed by a flush
     compact_runs: int | None = None  # runs at which a flush is followed by a compaction; None: never
     wal: WalOptions = WalOptions()
 
@@ -60,6 +61,7 @@ class Store:
         self.manifest = Manifest()
         self.pending: list[tuple[str, str, str]] = []
         self.committed_at = time.monotonic()
+        self._lock, self._timer = threading.RLock(), None
         self._cache: tuple[int, DataFrame] | None = None
         self.open()
 
@@ -68,6 +70,7 @@ class Store:
     def open(self, version: int | None = None) -> "Store":
         """Loads the latest version. Damage raises; nothing is skipped."""
         self.manifest = self.manifests.load(version)
+        self._count_at = self.options.flush_entries
         return self
 
     def snapshot(self, version: int) -> DataFrame:
@@ -76,6 +79,7 @@ class Store:
 
     def set_flush_entries(self, entries: int) -> None:
         self.options = Options(entries, self.options.compact_runs, self.options.wal)
+        self._count_at = entries
 
     def configure_wal(self, options: WalOptions) -> None:
         self.options = Options(self.options.flush_entries, self.options.compact_runs, options)
@@ -143,19 +147,40 @@ class Store:
         self._publish(m.with_(last_seq=seq, cleared_seq=seq, batches=(Batch(path, seq, seq),), runs=()))
 
     def _write_one(self, op: str, key: str, value: str) -> bool:
-        self.pending.append((op, key, value))
-        wal = self.options.wal
-        held = sum(record.FIXED + len(k.encode()) + len(v.encode()) for _, k, v in self.pending)
-        if not wal.group_commit or len(self.pending) >= wal.max_records or held >= wal.max_buffer_bytes or (time.monotonic() - self.committed_at) * 1000 >= wal.max_interval_ms:
-            self._commit_pending()
+        with self._lock:
+            self.pending.append((op, key, value))
+            wal = self.options.wal
+            held = sum(record.FIXED + len(k.encode()) + len(v.encode()) for _, k, v in self.pending)
+            if not wal.group_commit or len(self.pending) >= wal.max_records or held >= wal.max_buffer_bytes or (time.monotonic() - self.committed_at) * 1000 >= wal.max_interval_ms:
+                try:
+                    self._commit_pending()
+                except Exception:
+                    self.pending.pop()  # this one isn't acknowledged; those before it stay
+                    raise
+            elif self._timer is None:
+                self._timer = threading.Timer(wal.max_interval_ms / 1000, self._commit_in_time)
+                self._timer.daemon = True
+                self._timer.start()
         return True
 
+    def _commit_in_time(self) -> None:
+        try:
+            self._commit_pending()
+        except Exception as e:  # the writes stay; the next commit tells the caller
+            log.get().warning("a commit failed: %s", e)
+
     def _commit_pending(self) -> None:
-        self.committed_at = time.monotonic()
-        if self.pending:
-            rows, self.pending = self.pending, []
-            first = self.manifest.last_seq + 1
-            self._append(self.spark.createDataFrame([(first + i, *r) for i, r in enumerate(rows)], LOG), len(rows))
+        """Commits the writes that wait. If that fails they still do, and a later commit, after open() where another writer was faster, has them."""
+        with self._lock:
+            if self._timer is not None:
+                self._timer.cancel()
+                self._timer = None
+            self.committed_at = time.monotonic()
+            if rows := list(self.pending):
+                first = self.manifest.last_seq + 1
+                self._append(self.spark.createDataFrame([(first + i, *r) for i, r in enumerate(rows)], LOG), len(rows))
+                self.pending = self.pending[len(rows) :]
+                self._flush_if_full()
 
     def flush_log(self) -> None:
         """Commits writes that wait in memory."""
@@ -189,6 +214,7 @@ class Store:
         try:
             if n:
                 self._append(numbered, n, stream, clears="op" in rows.columns)
+                self._flush_if_full()
             elif stream:
                 self._publish(self.manifest.with_(streams=self.manifest.streams | {stream[0]: stream[1]}))
         finally:
@@ -198,14 +224,12 @@ class Store:
     def remove_all(self, keys: DataFrame) -> DataFrame:
         """Removes the live ones of keys (k) as one batch; gives (k, removed)."""
         self._commit_pending()
-        out = lww.remove_results(self._rows(), keys.select("k").distinct()).persist()
-        gone = out.where("removed").select(F.lit(REMOVE).alias("op"), "k", F.lit("").alias("v"))
-        out.count()
-        self.put_all(gone)
+        out = lww.remove_results(self._rows(), keys.select("k").distinct())  # of the files of this version, which stay
+        self.put_all(out.where("removed").select(F.lit(REMOVE).alias("op"), "k", F.lit("").alias("v")))
         return out
 
     def run_all(self, operations: list[tuple]) -> list:
-        """Runs ("put", k, v), ("remove", k) and ("get", k); results in the order given. Neighbouring gets are one job, neighbouring puts one batch."""
+        """Runs ("put", k, v), ("remove", k) and ("get", k); results in the order given. Neighbouring gets are one job, neighbouring puts or removals one batch."""
         out: list = []
         at = 0
         while at < len(operations):
@@ -221,7 +245,15 @@ class Store:
                 probes = self.spark.createDataFrame([(i, o[1]) for i, o in enumerate(some)], "i long, k string")
                 out += [r.v for r in self.multi_get(probes, "i").collect()]
             elif verb == "remove":
-                out += [self.remove(o[1]) for o in some]
+                probes = self.spark.createDataFrame([(i, o[1]) for i, o in enumerate(some)], "i long, k string")
+                there = {r.k for r in self.multi_get(probes, "i").collect() if r.v is not None}
+                found = []
+                for o in some:
+                    found.append(o[1] in there)
+                    there.discard(o[1])
+                self.pending += [(REMOVE, o[1], "") for o, f in zip(some, found) if f]
+                self._commit_pending()
+                out += found
             else:
                 raise ValueError(f"{verb} is unknown")
             at = end
@@ -243,8 +275,17 @@ class Store:
         batches = tuple(b for b in (*m.batches, Batch(path, first, last)) if b.last_seq > cleared or b.path == path)
         runs = tuple(r for r in m.runs if r.last_seq > cleared)
         self._publish(m.with_(last_seq=last, cleared_seq=cleared, batches=batches, runs=runs, streams=m.streams | ({stream[0]: stream[1]} if stream else {})))
-        if sum(b.last_seq - b.first_seq + 1 for b in self.manifest.batches) >= self.options.flush_entries:
+
+    def _flush_if_full(self) -> None:
+        """Keys are counted when there are records enough; a record adds one key at most, which says when to count again."""
+        records = sum(b.last_seq - b.first_seq + 1 for b in self.manifest.batches)
+        if records < self._count_at:
+            return
+        keys = self._read(b.path for b in self.manifest.batches).where((F.col("seq") > self.manifest.cleared_seq) & (F.col("op") != CLEAR)).select("k").distinct().count()
+        if keys >= self.options.flush_entries:
             self.flush()
+        else:
+            self._count_at = records + self.options.flush_entries - keys
 
     def _publish(self, manifest: Manifest) -> None:
         self.manifest = self.manifests.publish(manifest)
@@ -273,6 +314,7 @@ class Store:
         rows = lww.latest(self._read(b.path for b in m.batches).where(F.col("seq") > m.cleared_seq))
         run = self._write_run(rows, 0, sum(b.last_seq - b.first_seq + 1 for b in m.batches), m.last_seq)
         self._publish(m.with_(batches=(), flushed_seq=m.last_seq, runs=m.runs + run, next_run=m.next_run + 1))
+        self._count_at = self.options.flush_entries
         if self.options.compact_runs and len(self.manifest.runs) > self.options.compact_runs:
             self.compact()
         return True
@@ -308,13 +350,11 @@ class Store:
 
     def runs_table(self) -> DataFrame:
         """Every entry of every run, tombstones included, newest run first."""
-        ordered = self.manifest.ordered_runs()
-        out = None
-        for i, r in enumerate(ordered):
-            part = self._read([r.path]).withColumns({"rank": F.lit(i), "level": F.lit(r.level), "number": F.lit(r.number)})
-            out = part if out is None else out.unionByName(part)
-        out = out if out is not None else self._read([]).withColumns({"rank": F.lit(0), "level": F.lit(0), "number": F.lit(0)})
-        return out.orderBy("rank", "k").select("level", "number", "k", "op", "v", "seq")
+        named = [(self.files.at(r.path).rsplit("/", 1)[1], i, r.level, r.number) for i, r in enumerate(self.manifest.ordered_runs())]
+        of = self.spark.createDataFrame(named, "folder string, rank int, level int, number long")
+        rows = self._read(r.path for r in self.manifest.runs).withColumn("folder", F.element_at(F.split(F.input_file_name(), "/"), -2))
+        # one row per run
+        return rows.join(F.broadcast(of), "folder").orderBy("rank", "k").select("level", "number", "k", "op", "v", "seq")
 
     def manifest_table(self) -> DataFrame:
         return self.manifests.as_table(self.spark, self.manifest)

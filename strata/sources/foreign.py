@@ -6,6 +6,8 @@ too, and leaves out files and blocks that can't hold the key of a pushed-down eq
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 
 from strata.functions import record
 from strata.schema import TABLE_ENTRY, WAL
-from strata.sources.tables import Table
+from strata.sources.files import write_blobs
+from strata.sources.tables import MAGIC, Table, write_table
+
+ROWS = 10_000  # of a file that are in memory at a time
+FILE_BYTES = 64 << 20
+TABLE_END = MAGIC.to_bytes(8, "little").decode("latin-1")
 
 
 def _binary_files(spark: SparkSession, path: str) -> DataFrame:
@@ -26,8 +33,9 @@ def read_wal(spark: SparkSession, path: str, torn: str = "drop") -> DataFrame:
     def decode(batches):
         for batch in batches:
             for data in batch.column("content"):
-                rows = list(record.scan(data.as_py(), torn))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], WAL.names)
+                found = record.scan(data.as_py(), torn)
+                while rows := list(islice(found, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], WAL.names)
 
     return _binary_files(spark, path).select("content").mapInArrow(decode, WAL)
 
@@ -43,12 +51,74 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                rows = list(Table(data.as_py()).entries())
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary())))], ["path", *TABLE_ENTRY.names])
+                found = Table(data.as_py()).entries()
+                while rows := list(islice(found, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary())))], ["path", *TABLE_ENTRY.names])
 
     return _binary_files(spark, path).mapInArrow(decode, "path string, block_no int, k binary, v binary")
 
 
+def write_wal(log: DataFrame, path: str) -> str:
+    """A log (seq, op, k, v) as log files, sorted by sequence number over all of them (names say the order of parts); gives the folder.
+
+    A file ends with one byte more, which is too short for a record and ends reading.
+    """
+
+    def join(batches):
+        held, size = [], 0
+        for batch in batches:
+            for raw in batch.column("record").to_pylist():
+                held.append(raw)
+                size += len(raw)
+                if size >= FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["data"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["data"])
+
+    return write_blobs(wal_bytes(log.sort("seq")).select("record").mapInArrow(join, "data binary"), F.col("data"), "\n", path)
+
+
+def write_tables(runs: DataFrame, path: str, block_size: int = 4096) -> str:
+    """Sorted runs (run, k, v; keys unique in a run) as table files, a few to each run where it is large; gives the folder.
+
+    Rows are sorted by run and key, and files are cut from the sorted stream, where runs change and at FILE_BYTES. The magic number at
+    a file's end is what the writer ends a line with.
+    """
+
+    def cut(batches):
+        held, size, at = [], 0, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([write_table(held, block_size)[: -len(TABLE_END)]], pa.binary())], ["data"])
+
+        for batch in batches:
+            for run, k, v in zip(*(batch.column(c).to_pylist() for c in ("run", "k", "v"))):
+                if held and (run != at or size >= FILE_BYTES):
+                    yield done()
+                    held, size = [], 0
+                at = run
+                held.append((k, v))
+                size += len(k) + len(v)
+        if held:
+            yield done()
+
+    rows = runs.select("run", F.col("k").cast("binary").alias("k"), F.col("v").cast("binary").alias("v")).sort("run", "k")
+    return write_blobs(rows.mapInArrow(cut, "data binary"), F.col("data"), TABLE_END, path)
+
+
+def find_in_tables(spark: SparkSession, path: str, key: bytes) -> DataFrame:
+    """path, v of the table files that hold a key, by their filters and indexes; read through Spark, from any store."""
+
+    def find(batches):
+        for batch in batches:
+            found = [(path, Table(data.as_py()).find(key)) for path, data in zip(batch.column("path").to_pylist(), batch.column("content"))]
+            found = [x for x in found if x[1] is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.binary())], ["path", "v"])
+
+    return _binary_files(spark, path).mapInArrow(find, "path string, v binary")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path

@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strata.functions import binary, names, record
-from strata.functions.bloom import Bloom, bloom_agg, might_contain, murmur3, shape
+from strata.functions.bloom import Bloom, bloom_agg, might_contain, murmur3, murmur3_many, shape
 from strata.sources import manifest
 from strata.sources.tables import Table, write_table
 
@@ -101,8 +102,21 @@ def test_bloom_shape_and_no_false_negative():
 def test_bloom_as_aggregate(spark):
     keys = spark.range(300).select(F.concat(F.lit("k"), "id").alias("k"))
     made = bloom_agg(keys, 300)
-    found = keys.join(F.broadcast(made)).select(might_contain("bloom", F.col("k").cast("binary")).alias("f"))
-    assert found.where("f").count() == 300
+    assert might_contain(keys, "k", made).where("found").count() == 300
+    assert might_contain(keys.select(F.concat(F.lit("x"), "k").alias("k")), "k", made, "f").where("f").count() < 30
+
+
+def test_murmur_of_many_keys():
+    rnd = random.Random(1)
+    keys = [rnd.randbytes(n % 50) for n in range(500)]
+    assert list(zip(*(x.tolist() for x in murmur3_many(keys)))) == [murmur3(k) for k in keys]
+    one, many = Bloom.sized(500), Bloom.sized(500)
+    for k in keys:
+        one.add(k)
+    many.add_many(keys)
+    assert one.to_bytes() == many.to_bytes()
+    probes = [rnd.randbytes(9) for _ in range(2000)]
+    assert many.contains_many(probes).tolist() == [one.contains(p) for p in probes]
 
 
 def test_table_file_round_trip():

@@ -1,4 +1,6 @@
 import random
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from strata import log
 from strata.operators import blocks, lww
 from strata.plans.store import Options, Store, WalOptions
 from strata.shell import answers
+from strata.sources.files import Files
 from strata.sources.manifest import Conflict
 
 
@@ -71,7 +74,7 @@ def test_batches_keep_their_order(spark, tmp_path):
 
 def test_run_all_and_multi_get(spark, tmp_path):
     s = Store(spark, str(tmp_path))
-    assert s.run_all([("put", "a", "1"), ("put", "b", "2"), ("get", "a"), ("get", "x"), ("remove", "a"), ("remove", "x"), ("get", "a")]) == [True, True, "1", None, True, False, None]
+    assert s.run_all([("put", "a", "1"), ("put", "b", "2"), ("get", "a"), ("get", "x"), ("remove", "a"), ("remove", "x"), ("remove", "a"), ("get", "a")]) == [True, True, "1", None, True, False, False, None]
     probes = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b")], "i int, k string")
     assert [r.v for r in s.multi_get(probes, "i").collect()] == ["2", None, "2"]
     assert {r.k: r.removed for r in s.remove_all(probes).collect()} == {"a": False, "b": True}
@@ -92,6 +95,54 @@ def test_group_commit_waits_and_reads_see_it(spark, tmp_path):
     assert s.pending == [] and s.last_seq() == 5
 
 
+def test_acknowledged_writes_outlive_a_failed_commit(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path), Options(wal=WalOptions(group_commit=True, max_records=3, max_interval_ms=60_000)))
+    s.put("a", "1")
+    s.put("b", "2")
+    with monkeypatch.context() as m:
+        m.setattr(s.manifests, "publish", lambda manifest: (_ for _ in ()).throw(OSError("the disk is full")))
+        with pytest.raises(OSError):
+            s.put("c", "3")
+    assert [k for _, k, _ in s.pending] == ["a", "b"]
+    other = Store(spark, str(tmp_path))
+    other.put("d", "4")
+    with pytest.raises(Conflict):
+        s.flush_log()
+    s.open().flush_log()
+    assert as_dict(Store(spark, str(tmp_path))) == {"a": "1", "b": "2", "d": "4"}
+
+
+def test_a_waiting_write_is_committed_in_time(spark, tmp_path):
+    s = Store(spark, str(tmp_path), Options(wal=WalOptions(group_commit=True, max_interval_ms=200)))
+    s.committed_at += 60
+    s.put("a", "1")
+    assert s.pending
+    for _ in range(100):
+        time.sleep(0.1)
+        if not s.pending:
+            break
+    assert as_dict(Store(spark, str(tmp_path))) == {"a": "1"}
+
+
+def test_keys_and_not_records_fill_the_log(spark, tmp_path):
+    s = Store(spark, str(tmp_path), Options(flush_entries=3))
+    for i in range(8):
+        s.put("hot", str(i))
+    s.put("b", "1")
+    assert not s.manifest.runs
+    s.remove("b")
+    s.put("c", "1")
+    assert len(s.manifest.runs) == 1 and not s.manifest.batches and as_dict(s) == {"hot": "7", "c": "1"}
+
+
+def test_one_of_many_creators_succeeds(spark, tmp_path):
+    files = Files(spark, str(tmp_path))
+    files.create("x/first", b"")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: files.create("x/name", b"%d" % i), range(8)))
+    assert sum(won) == 1 and files.read("x/name") == b"%d" % won.index(True) and files.names("x") == ["first", "name"]
+
+
 def test_two_writers_conflict(spark, tmp_path):
     a, b = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
     a.put("k", "a")
