@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.sources import files
+from strata.sources.files import scratch
+
 REPLICAS = 16  # salts that spread one hot key in joins
 BROADCAST_ROWS = 50_000  # small rows of a stored table that are broadcast at most
 
@@ -18,17 +19,6 @@ BROADCAST_ROWS = 50_000  # small rows of a stored table that are broadcast at mo
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local one if driver and executors are one process, and an error otherwise."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir names no shared folder")
-        base = "file://" + tempfile.mkdtemp(prefix="strata-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/strata-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """The rows of df, written once to the shared folder and read from there: nothing is computed twice, and a lost executor costs no more than its running tasks."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
@@ -98,14 +88,8 @@ def unused(name: str, *tables: DataFrame) -> str:
 
 
 def write_blobs(df: DataFrame, column: str, trailer: str) -> str:
-    """One file for each row of binary ``column``, ended by ``trailer``; gives the folder.
-
-    Spark's text writer stores bytes as they are and commits files through the output committer, so this works in any store that
-    Spark can write and survives lost executors. The writer wants a line end: the format of the file has to allow ``trailer`` there.
-    """
-    path = scratch(df.sparkSession)
-    df.select(F.col(column).cast("string").alias("value")).write.option("lineSep", trailer).option("maxRecordsPerFile", 1).text(path)
-    return path
+    """One file for each row of binary ``column``, ended by ``trailer``, which the format of the file has to allow there; gives the folder."""
+    return files.write_blobs(df, F.col(column), trailer, scratch(df.sparkSession))
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
