@@ -148,7 +148,7 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def bucket_leads(classes: DataFrame) -> DataFrame:
-    """(row, n, bands) -> (key, u, n_u, v, n_v, size): for each bucket of a batch its first member u, with null v and the bucket's size there; and the batch's pairs of a member u and a first member v.
+    """(row, bands) -> (key, u, v, size): for each bucket of a batch its first member u, with null v and the bucket's size there; and the batch's pairs of a member u and a first member v.
 
     A pair of a bucket of two comes under the bucket's key, with size 0; pairs of larger ones, once for the batch, under keys of no meaning, with size 1.
     """
@@ -161,7 +161,7 @@ def bucket_leads(classes: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 order = np.argsort(batch.column("row").to_numpy(), kind="stable")
-                row, n_of = batch.column("row").to_numpy()[order], batch.column("n").to_numpy()[order]
+                row = batch.column("row").to_numpy()[order]
                 bands = batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(len(row), 2 * TABLES)[order]
                 keys = mixed(mixed(bands[:, :TABLES][:, grid_a] + table) + bands[:, TABLES:][:, grid_b]).ravel()
                 who = np.repeat(np.arange(len(row)), TABLES * TABLES)
@@ -174,13 +174,13 @@ def bucket_leads(classes: DataFrame) -> DataFrame:
                 later[first] = False
                 two = later & (n == 2)
                 many = np.unique(who[later & (n > 2)] * len(row) + lead[later & (n > 2)])
-                u, v = np.r_[who[two], many // len(row), who[first]], np.r_[lead[two], many % len(row)]
-                of_v = [pa.concat_arrays([pa.array(x[v]), pa.nulls(len(first), pa.int64())]) for x in (row, n_of)]
+                u = np.r_[row[who[two]], row[many // len(row)], row[who[first]]]
+                v = pa.concat_arrays([pa.array(np.r_[row[lead[two]], row[many % len(row)]]), pa.nulls(len(first), pa.int64())])
                 key = np.r_[keys[two], mixed(many.astype(np.uint64) + row[0].astype(np.uint64)), keys[first]].view(np.int64)
                 sizes = np.r_[np.zeros(two.sum(), np.int64), np.ones(len(many), np.int64), size].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row[u]), pa.array(n_of[u]), *of_v, pa.array(sizes)], ["key", "u", "n_u", "v", "n_v", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(u), v, pa.array(sizes)], ["key", "u", "v", "size"])
 
-    return classes.select("row", "n", "bands").mapInArrow(run, "key long, u long, n_u long, v long, n_v long, size int")
+    return classes.select("row", "bands").mapInArrow(run, "key long, u long, v long, size int")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -189,11 +189,12 @@ def candidates(classes: DataFrame) -> DataFrame:
     In the shuffle, a bucket has two rows per batch at most.
     """
     key, alone = Window.partitionBy("key"), F.col("v").isNull()
-    lead, total = F.min(F.when(alone, F.struct("u", "n_u"))).over(key), F.sum(F.when(alone, F.col("size"))).over(key)
+    lead, total = F.min(F.when(alone, F.col("u"))).over(key), F.sum(F.when(alone, F.col("size"))).over(key)
     more = F.when(alone | (F.col("size") == 0), total > 2).otherwise(True)
-    pairs = bucket_leads(classes).withColumns({"lead": lead, "more": more})
-    pairs = pairs.select("u", "n_u", F.coalesce("v", "lead.u").alias("v"), F.coalesce("n_v", "lead.n_u").alias("n_v"), "more").where("u <> v")
-    return cut(pairs.groupBy("u", "v").agg(F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v"), F.max("more").alias("more")))
+    pairs = bucket_leads(classes).select("u", F.coalesce("v", lead).alias("v"), more.alias("more")).where("u <> v").groupBy("u", "v").agg(F.max("more").alias("more"))
+    pairs = cut(pairs)
+    size = lambda c: classes.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"))
+    return cut(split_join(pairs.join(size("u"), "u"), size("v"), "v", "u").select("u", "v", "n_u", "n_v", "more"))
 
 
 def sets_of(texts: DataFrame, rows: DataFrame, words: int) -> DataFrame:
