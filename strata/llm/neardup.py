@@ -28,12 +28,14 @@ BAND, TABLES = 3, 14  # minhashes in a band (two bands make a key), bands in eac
 THRESHOLD = 80  # per cent
 WORDS = 5  # in a shingle
 CHUNK = 2_000_000  # bytes of text at a time
+SIGNS = 8  # words of 64 bits that refute most pairs that aren't alike
 PAIRS_AT_ONCE = 250
 
 _random = np.random.default_rng(11)
 MULTIPLY = _random.integers(1, 1 << 63, 2 * TABLES * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 XOR = _random.integers(0, 1 << 63, 2 * TABLES * BAND, dtype=np.uint64)
 PLACE = _random.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BITS = [f"bits_{i}" for i in range(SIGNS)]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 
@@ -147,25 +149,30 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, row long, text string, n_shingles long, same string, bands array<long>")
 
 
-def bucket_leads(classes: DataFrame) -> DataFrame:
-    """(row, bands) -> (key, u, v, size): for each bucket of a batch its first member u, with null v and the bucket's size there; and the batch's pairs of a member u and a first member v.
+def bucket_leads(classes: DataFrame, diagonal: bool = False) -> DataFrame:
+    """(row, bands, comp and weight: its component and rows in that, null for a row of none) -> (key, u, v, size): for each bucket of a batch its first member u, with its comp as v, and less the bucket's size there and 2 ** 32 times u's weight; and the batch's pairs of a member u and a first member v.
 
-    A pair of a bucket of two comes under the bucket's key, with size 0; pairs of larger ones, once for the batch, under keys of no meaning, with size 1.
+    Rows of larger components come first. A pair of a bucket of two comes under the bucket's key, with size 0; pairs of larger ones, once
+    for the batch, under keys of no meaning, with size 2. Sizes are one more for a pair of two components. ``diagonal``: of TABLES tables
+    only, one for each band.
     """
 
     def run(batches):
         held_by_worker(None, None)
-        grid_a, grid_b = (x.ravel() for x in np.meshgrid(np.arange(TABLES), np.arange(TABLES), indexing="ij"))
+        grid_a, grid_b = (np.arange(TABLES),) * 2 if diagonal else (x.ravel() for x in np.meshgrid(np.arange(TABLES), np.arange(TABLES), indexing="ij"))
         table = (grid_a * TABLES + grid_b + 1).astype(np.uint64)
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                order = np.argsort(batch.column("row").to_numpy(), kind="stable")
-                row = batch.column("row").to_numpy()[order]
+                weight = np.minimum(batch.column("weight").fill_null(1).to_numpy(), (1 << 31) - 1)
+                order = np.lexsort((batch.column("row").to_numpy(), -weight))
+                row, weight, comp = batch.column("row").to_numpy()[order], weight[order], batch.column("comp").take(pa.array(order))
+                own = comp.fill_null(-1).to_numpy()
+                own = np.where(own < 0, row, own)
                 bands = batch.column("bands").flatten().to_numpy().view(np.uint64).reshape(len(row), 2 * TABLES)[order]
                 keys = mixed(mixed(bands[:, :TABLES][:, grid_a] + table) + bands[:, TABLES:][:, grid_b]).ravel()
-                who = np.repeat(np.arange(len(row)), TABLES * TABLES)
-                order = np.argsort(keys, kind="stable")  # so that the smallest row comes first in its bucket
+                who = np.repeat(np.arange(len(row)), len(table))
+                order = np.argsort(keys, kind="stable")  # stable: first rows come first in their buckets
                 keys, who = keys[order], who[order]
                 first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
                 size = np.diff(first, append=len(keys))
@@ -174,27 +181,30 @@ def bucket_leads(classes: DataFrame) -> DataFrame:
                 later[first] = False
                 two = later & (n == 2)
                 many = np.unique(who[later & (n > 2)] * len(row) + lead[later & (n > 2)])
-                u = np.r_[row[who[two]], row[many // len(row)], row[who[first]]]
-                v = pa.concat_arrays([pa.array(np.r_[row[lead[two]], row[many % len(row)]]), pa.nulls(len(first), pa.int64())])
+                member, head = np.r_[who[two], many // len(row)], np.r_[lead[two], many % len(row)]
+                u = np.r_[row[member], row[who[first]]]
+                v = pa.concat_arrays([pa.array(row[head]), comp.take(pa.array(who[first]))])
                 key = np.r_[keys[two], mixed(many.astype(np.uint64) + row[0].astype(np.uint64)), keys[first]].view(np.int64)
-                sizes = np.r_[np.zeros(two.sum(), np.int64), np.ones(len(many), np.int64), size].astype(np.int32)
+                sizes = np.r_[np.repeat([0, 2], [two.sum(), len(many)]) + (own[member] != own[head]), -size - (weight[who[first]] << 32)]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(u), v, pa.array(sizes)], ["key", "u", "v", "size"])
 
-    return classes.select("row", "bands").mapInArrow(run, "key long, u long, v long, size int")
+    return classes.select("row", "bands", "comp", "weight").mapInArrow(run, "key long, u long, v long, size long")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v, n_u, n_v, more): v the first member of a bucket that u is in, and whether any of these buckets has more members than two.
+def candidates(classes: DataFrame, diagonal: bool = False) -> DataFrame:
+    """Distinct pairs (u, v, more, apart): v the first member of a bucket that u is in, whether any of these buckets has more members than two, and whether u and v are of two components.
 
-    In the shuffle, a bucket has two rows per batch at most.
+    The first member is one of the largest component in the bucket, so that it's the few that meet one of the many. Of one component, there are only the pairs of a batch that have more. In the shuffle, a bucket has two rows per batch at most.
     """
-    key, alone = Window.partitionBy("key"), F.col("v").isNull()
-    lead, total = F.min(F.when(alone, F.col("u"))).over(key), F.sum(F.when(alone, F.col("size"))).over(key)
-    more = F.when(alone | (F.col("size") == 0), total > 2).otherwise(True)
-    pairs = bucket_leads(classes).select("u", F.coalesce("v", lead).alias("v"), more.alias("more")).where("u <> v").groupBy("u", "v").agg(F.max("more").alias("more"))
-    pairs = cut(pairs)
-    size = lambda c: classes.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"))
-    return cut(split_join(pairs.join(size("u"), "u"), size("v"), "v", "u").select("u", "v", "n_u", "n_v", "more"))
+    key, alone = Window.partitionBy("key"), F.col("size") < 0
+    comp, weight, size = F.coalesce("v", "u"), F.expr("-size >> 32"), F.expr("-size & 4294967295")
+    lead, total = F.min(F.when(alone, F.struct((-weight).alias("w"), "u", comp.alias("comp")))).over(key), F.sum(F.when(alone, size)).over(key)
+    met = bucket_leads(classes, diagonal).select("u", "v", "size", lead.alias("lead"), (total > 2).alias("large"))
+    more = F.when(F.col("size") < 2, F.col("large")).otherwise(True)
+    apart = F.when(alone, comp != F.col("lead.comp")).otherwise(F.col("size") % 2 == 1)
+    pairs = met.select("u", F.when(alone, F.col("lead.u")).otherwise(F.col("v")).alias("v"), more.alias("more"), apart.alias("apart"), alone.alias("alone"))
+    pairs = pairs.where("u <> v and (apart or more and not alone)")
+    return cut(pairs.groupBy("u", "v").agg(F.max("more").alias("more"), F.max("apart").alias("apart")))
 
 
 def sets_of(texts: DataFrame, rows: DataFrame, words: int) -> DataFrame:
@@ -213,11 +223,42 @@ def sets_of(texts: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return texts.join(rows, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, sh array<long>")
 
 
+def signs_of(texts: DataFrame, words: int) -> DataFrame:
+    """Of each text (row, text): row, n (size of its set), and for 64 * SIGNS places whether an odd number of the set's hashes falls there (bits_0, ...)."""
+
+    def run(batches):
+        for batch in batches:
+            sizes, odd = [], np.zeros((batch.num_rows, 64 * SIGNS), np.uint8)
+            for _, _, some in batches_of(batch.column("text")):
+                every, edges = shingles(some, words)
+                for a, b in zip(edges[:-1], edges[1:]):
+                    own = np.unique(every[a:b])
+                    odd[len(sizes)] = np.bincount((own % np.uint64(64 * SIGNS)).astype(np.int64), minlength=64 * SIGNS) & 1
+                    sizes.append(len(own))
+            bits = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64()), *(pa.array(bits[:, i].copy()) for i in range(SIGNS))], ["row", "n", *BITS])
+
+    return texts.select("row", "text").mapInArrow(run, "row long, n long, " + ", ".join(f"{b} long" for b in BITS))
+
+
 def fits(threshold: int):
     """Sizes that allow the similarity."""
     return (100 * F.least("n_u", "n_v")) >= threshold * F.greatest("n_u", "n_v")
 
 
+def near(threshold: int):
+    """Sizes and bits that allow the similarity: sets differ in as many shingles at least as their bits differ in places."""
+    differ = sum((F.bit_count(F.col(f"{b}_u").bitwiseXOR(F.col(f"{b}_v"))) for b in BITS), F.lit(0))
+    both = F.col("n_u") + F.col("n_v")
+    return fits(threshold) & ((100 + threshold) * (both - differ) >= 2 * threshold * both)
+
+
+def likely(pairs: DataFrame, signs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (u, v) that sizes and bits allow."""
+    of = lambda c: signs.select(F.col("row").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", *BITS)])
+    return cut(split_join(pairs.select("u", "v").join(of("u"), "u"), of("v"), "v", "u").where(near(threshold)).select("u", "v"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
     """The pairs (u, v) whose texts (row, text) are alike on their whole sets, word by word. Texts that are in many pairs are repeated, so that no task has all of them."""
     at = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"text_{c}"))
@@ -261,15 +302,16 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(out)
 
 
-def left_over(found: DataFrame, comps: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
+def left_over(found: DataFrame, comps: DataFrame, texts: DataFrame, signs: DataFrame, threshold: int, words: int) -> DataFrame:
     """Pairs (u, v) over the components that share a bucket without a link: every pair of these that is alike.
 
     Shingles are ordered by how few of the rows hold them. Of two alike sets, the smaller has one of its first n - ceil(2 t n / (1 + t)) + 1
-    shingles among the first n - ceil(t n) + 1 of the larger, and at the first that they share, both have enough shingles left.
+    shingles among the first n - ceil(t n) + 1 of the larger, and at the first that they share, both have enough shingles left. Most
+    pairs of a row and the members of a large component that it isn't like are refuted by their bits, within the join.
     """
     of = lambda c: comps.select(F.col("row").alias(c), F.col("comp").alias(f"comp_{c}"))
     # a bucket of two holds no other pair
-    apart = found.where("more").join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", F.coalesce("comp_u", "u").alias("cu"), F.coalesce("comp_v", "v").alias("cv")).where("cu <> cv")
+    apart = found.where("more and apart").join(of("u"), "u", "left").join(of("v"), "v", "left").select("u", "v", F.coalesce("comp_u", "u").alias("cu"), F.coalesce("comp_v", "v").alias("cv")).where("cu <> cv")
     apart = cut(apart)
     if apart.isEmpty():
         return apart.select("u", "v")
@@ -280,22 +322,22 @@ def left_over(found: DataFrame, comps: DataFrame, texts: DataFrame, threshold: i
     touched = apart.select(F.col("cu").alias("comp")).unionByName(apart.select(F.col("cv").alias("comp"))).distinct()
     alone = apart.select(F.col("u").alias("row")).unionByName(apart.select(F.col("v").alias("row"))).distinct().withColumn("comp", F.col("row")).join(comps, "row", "left_anti")
     members = cut(comps.join(touched, "comp", "left_semi").select("row", "comp").unionByName(alone.select("row", "comp")))
-    sets = cut(sets_of(texts, members, words))
-    each = sets.select("row", F.size("sh").alias("n"), F.explode("sh").alias("sh"))
-    counts = each.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")  # a shingle of one row finds nobody, and comes first
+    sets = cut(sets_of(texts, members, words).join(signs, "row"))
+    each = sets.select("row", "n", *BITS, F.explode("sh").alias("sh"))
+    counts = sets.select(F.explode("sh").alias("sh")).groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")  # a shingle of one row finds nobody, and comes first
     known = each.join(counts, "sh", "left").withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy(F.coalesce("df", F.lit(1)), "sh")) - 1)
     t = threshold / 100
     probe = F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1
     index = F.col("n") - F.ceil(F.col("n") * (2 * t / (1 + t)) - 1e-9) + 1
     prefix = known.where((F.col("place") < probe) & F.col("df").isNotNull()).withColumns({"left": F.col("n") - F.col("place"), "short": F.col("place") < index})
-    prefix = cut(prefix.join(members, "row").join(open_rows.withColumn("open", F.lit(True)), "row", "left").select("sh", "row", "n", "left", "comp", F.coalesce("open", F.lit(False)).alias("open"), "short"))
-    named = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("row", "n", "left", "comp", "open")]
+    prefix = cut(prefix.join(members, "row").join(open_rows.withColumn("open", F.lit(True)), "row", "left").select("sh", "row", "n", "left", "comp", F.coalesce("open", F.lit(False)).alias("open"), "short", *BITS))
+    named = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("row", "n", "left", "comp", "open", *BITS)]
     larger = (F.col("n_u") > F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("row_u") > F.col("row_v")))
     enough = (100 + threshold) * F.least("left_u", "left_v") >= threshold * (F.col("n_u") + F.col("n_v"))
     # one of a pair is open: open rows look in all short prefixes, and the others in those of open rows
     asked, held = prefix.select("sh", *named("u")), prefix.where("short").select("sh", *named("v"))
     met = split_join(asked.where("open_u"), held, "sh", "row_u", 1000).unionByName(split_join(asked.where("not open_u"), held.where("open_v"), "sh", "row_u", 1000))
-    pairs = met.where(larger & enough & (F.col("comp_u") != F.col("comp_v")) & fits(threshold))
+    pairs = met.where(larger & enough & (F.col("comp_u") != F.col("comp_v")) & near(threshold))
     pairs = cut(pairs.select(F.col("row_u").alias("u"), F.col("row_v").alias("v")).distinct())
     alike = confirmed(pairs, texts, threshold, words)
     drop(sets, prefix, pairs)
@@ -310,20 +352,32 @@ def link(sketches: DataFrame, threshold: int, words: int, *carried: str) -> Data
     rows = cut(rows.select("row", "doc_id", "n_shingles", "same", *carried, F.coalesce("first", "row").alias("class"), F.coalesce("first_doc", "doc_id").alias("class_doc")))
     later = cut(rows.where("row <> class").select("row"))
     classes = sketches.where("same is not null").select("row", F.col("n_shingles").alias("n"), "bands").join(later, "row", "left_anti")
-    found = candidates(classes)
-    asked = found.where(F.col("more") | fits(threshold))
-    rows_asked = cut(asked.select(F.col("u").alias("row")).unionByName(asked.select(F.col("v").alias("row"))).distinct())
-    texts = cut(sketches.select("row", "text").join(rows_asked, "row", "left_semi"))
-    edges = confirmed(found.where(fits(threshold)), texts, threshold, words)
+    rows_of = lambda pairs: pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct()
+    text = sketches.select("row", "text")
+    # a few tables link most of what is alike; then all tables, for what is apart still
+    pairs = candidates(classes.withColumns({"comp": F.lit(None).cast("long"), "weight": F.lit(None).cast("long")}), diagonal=True)
+    rows_met = cut(rows_of(pairs))
+    first_texts = cut(text.join(rows_met, "row", "left_semi"))
+    first_signs = cut(signs_of(first_texts, words))
+    edges = confirmed(likely(pairs, first_signs, threshold), first_texts, threshold, words)
     comps = components(edges)
-    more = left_over(found, comps, texts, threshold, words)
+    weights = comps.groupBy("comp").agg(F.count("*").alias("weight"))
+    found = candidates(salted_left(classes, cut(comps.join(weights, "comp")), "row", "row"))
+    apart = found.where("apart")
+    other_texts = cut(text.join(rows_of(apart).join(rows_met, "row", "left_anti"), "row", "left_semi"))
+    texts, signs = first_texts.unionByName(other_texts), first_signs.unionByName(cut(signs_of(other_texts, words)))
+    asked = likely(apart.join(pairs, ["u", "v"], "left_anti"), signs, threshold)
+    if not asked.isEmpty():
+        edges = edges.unionByName(confirmed(asked, texts, threshold, words))
+        comps = components(edges)
+    more = left_over(found, comps, texts, signs, threshold, words)
     if not more.isEmpty():
         comps = components(edges.unionByName(more))
     # the smallest doc_id of a component, over its classes
     named = rows.where("row = class").select(F.col("row"), "class_doc").join(comps, "row")
     smallest = named.groupBy("comp").agg(F.min("class_doc").alias("component_doc"))
     labels = cut(comps.join(smallest, "comp").select(F.col("row").alias("class"), "component_doc"))
-    drop(sketches, texts, found)  # rows and labels are stored, too
+    drop(sketches, first_texts, other_texts, found)  # rows and labels are stored, too
     return salted_left(rows, labels, "class", "row").select("row", "doc_id", "n_shingles", *carried, F.coalesce("component_doc", "class_doc", "doc_id").alias("component_id"))
 
 

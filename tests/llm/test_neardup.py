@@ -124,6 +124,36 @@ def test_links_that_no_first_member_has(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows, 4)
 
 
+def test_pairs_of_a_large_group_grow_with_its_rows(spark, monkeypatch):
+    """Near copies of one text, and texts that share most of it but are like none: neither meets the whole group."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(90)]
+
+    def altered(n):
+        own = base[:]
+        for at in rnd.sample(range(90), n):
+            own[at] = word()
+        return " ".join(own)
+
+    rows = [(i, altered(rnd.randint(0, 3) if i % 4 else 5), "x", 1) for i in range(400)]
+    asked, real = [], neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, *rest: (asked.append(pairs.count()), real(pairs, *rest))[1])
+    found = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(8), words=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows, 4)
+    assert sum(asked) <= 6 * len(rows)
+
+
+def test_bits_refute_no_pair_that_is_alike(spark):
+    rows = [(i, t) for i, (_, t, *_) in enumerate(corpus(4)) if shingle_set(t, 4)]
+    texts = spark.createDataFrame(rows, "row long, text string")
+    pairs = spark.createDataFrame([(u, v) for u, _ in rows for v, _ in rows if v < u], "u long, v long")
+    sets = {i: shingle_set(t, 4) for i, t in rows}
+    alike = {(u, v) for u in sets for v in sets if v < u and 100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v])}
+    left = {(r.u, r.v) for r in neardup.likely(pairs, neardup.signs_of(texts, 4), 80).collect()}
+    assert alike <= left and len(left) < 2 * len(alike)
+
+
 def test_links_between_later_members_of_two_batches(spark):
     """A chain g, w, u, v in one bucket: w comes after g in a batch, u after v in another, and w and u alone join them."""
     chain = [" ".join(f"w{i}" for i in range(2 * k, 2 * k + 20)) for k in range(4)]
