@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from strata.functions import record
+from strata.operators.blocks import ENTRY_OVERHEAD
 from strata.schema import TABLE_ENTRY, WAL
 from strata.sources.files import write_blobs
 from strata.sources.tables import MAGIC, Table, write_table
@@ -46,7 +47,7 @@ def wal_bytes(log: DataFrame) -> DataFrame:
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """Table files -> path, block_no, k, v."""
+    """Table files -> path, block_no, k, v. Blocks are numbered through over the files of a run that ``write_tables`` wrote."""
 
     def decode(batches):
         for batch in batches:
@@ -82,28 +83,34 @@ def write_wal(log: DataFrame, path: str) -> str:
 def write_tables(runs: DataFrame, path: str, block_size: int = 4096) -> str:
     """Sorted runs (run, k, v; keys unique in a run) as table files, a few to each run where it is large; gives the folder.
 
-    Rows are sorted by run and key, and files are cut from the sorted stream, where runs change and at FILE_BYTES. The magic number at
-    a file's end is what the writer ends a line with.
+    A run goes through one task, in the order of its keys, as its blocks are cut by one pass from its first entry on. A file ends where
+    its run does, or with the first block that ends past FILE_BYTES, and says how many blocks of the run are in files before it. The
+    magic number at a file's end is what the writer ends a line with.
     """
 
     def cut(batches):
         held, size, at = [], 0, None
+        before = blocks = filled = 0  # blocks before this file, blocks that are full, bytes in the one that isn't
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([write_table(held, block_size)[: -len(TABLE_END)]], pa.binary())], ["data"])
+            return pa.RecordBatch.from_arrays([pa.array([write_table(held, block_size, before)[: -len(TABLE_END)]], pa.binary())], ["data"])
 
         for batch in batches:
             for run, k, v in zip(*(batch.column(c).to_pylist() for c in ("run", "k", "v"))):
-                if held and (run != at or size >= FILE_BYTES):
+                if held and (run != at or (size >= FILE_BYTES and not filled)):
                     yield done()
-                    held, size = [], 0
-                at = run
+                    held, size, before = [], 0, blocks
+                if run != at:
+                    at, before, blocks, filled = run, 0, 0, 0
                 held.append((k, v))
                 size += len(k) + len(v)
+                filled += len(k) + len(v) + ENTRY_OVERHEAD
+                if filled >= block_size:
+                    blocks, filled = blocks + 1, 0
         if held:
             yield done()
 
-    rows = runs.select("run", F.col("k").cast("binary").alias("k"), F.col("v").cast("binary").alias("v")).sort("run", "k")
+    rows = runs.select("run", F.col("k").cast("binary").alias("k"), F.col("v").cast("binary").alias("v")).repartition("run").sortWithinPartitions("run", "k")
     return write_blobs(rows.mapInArrow(cut, "data binary"), F.col("data"), TABLE_END, path)
 
 
@@ -144,7 +151,7 @@ class _TableReader(DataSourceReader):
             value = table.find(key)
             if value is not None:
                 number = next(i for i, b in enumerate(table.index) if b[0] >= key)
-                yield number, key, value
+                yield table.before + number, key, value
             return
         yield from table.entries()
 
